@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, sharding, tokencount
-from larkspur.llm.runtime import table, word_count
+from larkspur.llm import langid, mixing, neardup, sharding, tokencount
+from larkspur.llm.runtime import crc32_mod, table, word_count
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 512
@@ -21,6 +21,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 4) == 2
+    samples = langid.draw_samples(docs.where(~held_out), F.col("doc_id"))
+    out = langid.identify(docs.select("doc_id", "text"), samples)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = neardup.near_duplicates(docs.select("doc_id", "text"), width=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
@@ -45,6 +59,8 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_shard": op4_shard,
     "op5_mix": op5_mix,
     "op8_tokens": op8_tokens,
