@@ -26,7 +26,6 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.components import components
-from larkspur.llm.runtime import ASCII_LOWER, WORD, Scratch, ship
+from larkspur.llm.runtime import Scratch, lowered_words, ship
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
@@ -44,12 +43,10 @@ SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 #: Word hashes that a worker remembers; at the bound it starts afresh.
 REMEMBERED = 400_000
 
-words = regex.compile(WORD).findall
-
 
 class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
         if len(self) >= REMEMBERED:
             self.clear()
         if len(word) <= 64:
@@ -73,9 +70,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 _SEEDS = _mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _ODD)[:, None]
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles of ``width`` words; of fewer words, one of them all."""
-    w = words((text or "").translate(ASCII_LOWER))
+    w = lowered_words(text)
     if not w:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w))
@@ -140,7 +137,7 @@ def _signed(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterato
     ids = count(TaskContext.get().partitionId() << 33)
     for b in batches:
         rid, n, digest, reg, keys = [], [], [], [], []
-        for t in b.column(text):
+        for t in b.column(text).cast(pa.binary()):
             s = shingle_set(t.as_py(), width)
             rid.append(next(ids))
             n.append(len(s))
@@ -162,6 +159,7 @@ def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
     last, last_set = None, None
     for batch in batches:
         d = {k: batch.column(k) for k in batch.schema.names}
+        d |= {k: d[k].cast(pa.binary()) for k in ("text_a", "text_b")}
         if not batch.num_rows:
             continue
         n_a, n_b = d["n_a"].to_numpy(), d["n_b"].to_numpy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import langid, mixing, neardup, sharding, tokencount
+from larkspur.llm import langid, lm, mixing, neardup, sharding, tokencount
 from larkspur.llm.runtime import crc32_mod, table, word_count
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -51,6 +51,13 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod(F.col("doc_id"), 5) == 1
+    out = lm.score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), docs.where(~held_out), F.col("doc_id"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -63,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_shard": op4_shard,
     "op5_mix": op5_mix,
+    "op6_lm_score": op6_lm_score,
     "op8_tokens": op8_tokens,
 }

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 #: A word: a longest run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: For ``str.translate``: lower-cases A-Z and nothing else.
-ASCII_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 _SHIPPED: set[str] = set()
 
@@ -93,6 +91,11 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(out))
 
 
+def lowered_words(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text, A-Z in lower case: bytes know no other letters, and split at just WORD's spaces."""
+    return text.lower().split() if text else []
+
+
 def crc32_mod(column: Column, n: int) -> Column:
     """crc32 of the value written as text, modulo n; null counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
