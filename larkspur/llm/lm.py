@@ -50,8 +50,8 @@ SIZE = 16
 HOT = 200_000
 #: Characters of the sample on which the vectors start.
 START_CHARS = 1_500_000
-NOISE = 24
-BATCH = 4_096
+NOISE = 48
+BATCH = 1_024
 RATE = 0.1
 #: Partitions that train side by side at most.
 TRAINERS = 1_024
@@ -131,9 +131,9 @@ def contexts(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
 class Vectors:
     """Parameters: context vectors by place, class vectors, biases, in one matrix of rows."""
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray, sums: np.ndarray | None = None):
         self.rows = rows
-        self.sums = np.full_like(rows, 1e-4)
+        self.sums = np.full_like(rows, 1e-4) if sums is None else sums
         k = CLASSES + 1
         self.one, self.two, self.out = rows[:k, :SIZE], rows[k : 2 * k, :SIZE], rows[2 * k :, :SIZE]
         self.bias = rows[2 * k :, SIZE]
@@ -261,10 +261,10 @@ def fit_vectors(train: DataFrame, counts: Counts, held: Held, key, text: str = "
     rng = np.random.default_rng(11)
     for _ in range(3):
         train_on(v, texts, held.index(), counts.mass, rng)
-    start, mass = v.rows.copy(), counts.mass
+    start, mass = (v.rows, v.sums), counts.mass
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, seen = Vectors(start.copy()), 0
+        mine, seen = Vectors(*(x.copy() for x in start)), 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for b in batches:
             seen += train_on(mine, b.column(0).cast(pa.binary()).to_pylist(), held.index(), mass, rng)
@@ -275,10 +275,10 @@ def fit_vectors(train: DataFrame, counts: Counts, held: Held, key, text: str = "
     sums = train.select(text).coalesce(TRAINERS).mapInArrow(go_on, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     if not sums:
         return v.rows
-    flat = np.zeros(start.size + 1)
+    flat = np.zeros(v.rows.size + 1)
     for r in sums:
         flat[r["i"]] = r["x"]
-    return (flat[:-1] / flat[-1]).astype(np.float32).reshape(start.shape)
+    return (flat[:-1] / flat[-1]).astype(np.float32).reshape(v.rows.shape)
 
 
 class Held:
