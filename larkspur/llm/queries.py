@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import langid, lm, mixing, neardup, sharding, tokencount
+from larkspur.llm import htmlmain, langid, lm, mixing, neardup, sharding, tokencount, vptree
 from larkspur.llm.runtime import crc32_mod, table, word_count
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,6 +58,12 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = htmlmain.extract(pages.select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -65,11 +71,17 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_shard": op4_shard,
     "op5_mix": op5_mix,
     "op6_lm_score": op6_lm_score,
+    "op7_main_text": op7_main_text,
     "op8_tokens": op8_tokens,
+    "op9_nearest": op9_nearest,
 }
