@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import htmlmain, langid, lm, mixing, neardup, sharding, tokencount, vptree
+from larkspur.llm import decontam, htmlmain, langid, lm, mixing, neardup, sharding, tokencount, vptree
 from larkspur.llm.runtime import crc32_mod, table, word_count
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -75,6 +75,11 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "similarity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_near_duplicates": op3_near_duplicates,
@@ -84,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_main_text": op7_main_text,
     "op8_tokens": op8_tokens,
     "op9_nearest": op9_nearest,
+    "op10_decontaminate": op10_decontaminate,
 }
