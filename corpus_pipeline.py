@@ -2,13 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import Scratch, table
+from larkspur.llm import decontam, langid, mixing, neardup, sharding
+from larkspur.llm.queries import SHARDS
+from larkspur.llm.runtime import Scratch, table, word_count
 
-STAGES: list = []
 
-#: The stages rest on learned models and random keys that SQL can't express; tests hold them against brute force.
+def _crc() -> Column:
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language, which replaces the stated one; those without a letter go."""
+    samples = langid.draw_samples(docs, F.col("doc_id"))
+    found = langid.identify(docs, samples, into="_lang", score="_score").where(F.col("_lang") != langid.UNDETERMINED)
+    return found.withColumn("lang", F.col("_lang")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return neardup.near_duplicates(docs).where(F.col("survivor")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents up to each source's budget of words; one that is taken in two epochs is there twice."""
+    sized = docs.withColumn("_words", word_count(F.col("text")))
+    mixed = mixing.mix(sized, mixing.random_key(F.col("doc_id"), _crc()), size="_words", whole=True)
+    return mixed.where(F.col("copies") > 0).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ``shard`` and ``slot``, in Hilbert order of language, source and size."""
+    rows = docs.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    return sharding.shard_rows(rows, ["lang", "source", "_bytes"], [F.col("doc_id"), _crc()], SHARDS).drop("_bytes")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix_sources),
+    ("shard", shard),
+]
+
+#: The stages rest on a learned model, random keys and a space-filling curve that SQL doesn't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 

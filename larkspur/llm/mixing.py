@@ -57,7 +57,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 
 
 def mix(rows: DataFrame, key: Column, source: str = "source", size: str = "size", whole: bool = False, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``rows`` with columns ``source_size``, ``target`` and ``taken`` (size units that the mix takes, epochs counted).
+    """``rows`` with columns ``source_size``, ``target``, ``taken`` (size units that the mix takes, epochs counted) and ``copies`` (epochs that the row is in, in whole or part).
 
     With ``whole`` false the document at the cut gives just what is missing, so
     a source's sum is its target rounded.  With ``whole`` true documents are
@@ -71,7 +71,7 @@ def mix(rows: DataFrame, key: Column, source: str = "source", size: str = "size"
     own = Scratch(spark, "mixing")
     buckets = 8 * shuffle_partitions(spark)
     key32 = F.conv(F.substring(F.col("_key"), 1, 8), 16, 10).cast("long")
-    slim = rows.drop("source_size", "target", "taken").withColumn("_key", key).withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    slim = rows.drop("source_size", "target", "taken", "copies").withColumn("_key", key).withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
     slim = own.keep(slim.withColumn("_bucket", F.shiftright(key32 * buckets, 32)).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))), "keyed")
     sums = own.keep(slim.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum")), "sums")
     totals = sums.groupBy("_source").agg(F.sum("_sum").alias("source_size"))
@@ -88,5 +88,5 @@ def mix(rows: DataFrame, key: Column, source: str = "source", size: str = "size"
         more = F.when(left * 2 >= F.col("_size"), F.when(left > 0, F.col("_size")).otherwise(0)).otherwise(0)
     else:
         more = F.least(F.greatest(left, F.lit(0)), F.col("_size"))
-    out = out.withColumn("taken", (epochs * F.col("_size") + more).cast("long"))
+    out = out.withColumn("taken", (epochs * F.col("_size") + more).cast("long")).withColumn("copies", (epochs + (more > 0).cast("int")).cast("int"))
     return out.drop("_key", "_size", "_bucket", "_source", "_before", "_start")

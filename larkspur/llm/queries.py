@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, htmlmain, langid, lm, mixing, neardup, sharding, tokencount, vptree
+from larkspur.llm import decontam, htmlmain, langid, lm, mixing, neardup, quality, sharding, tokencount, vptree
 from larkspur.llm.runtime import crc32_mod, table, word_count
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 512
 SHARDS = 40
+#: Least quality of a kept document.
+KEEP = 0.5
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -29,6 +31,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.score_quality(docs, model)
+    return out.select("doc_id", "score", (F.col("score") >= KEEP).alias("keep"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = neardup.near_duplicates(docs.select("doc_id", "text"), width=2, percent=80)
@@ -82,6 +91,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_shard": op4_shard,
     "op5_mix": op5_mix,
