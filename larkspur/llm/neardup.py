@@ -11,9 +11,13 @@ probability (1 - 0.8**6)**48 < 5e-7.
 Documents with equal sets are one node from the start.  In a shared band bucket
 every node is compared with the bucket's smallest, so the comparisons are linear
 in the bucket; components are formed; buckets whose nodes already are one
-component are done.  In the others the nodes are compared with the bucket's
-largest, and at last every pair of nodes of different components is.  So nothing
-is compared all against all within a group of copies, and no bucket is capped.
+component are done, and so are buckets of two.  In the others the nodes are
+compared with the bucket's largest, which leaves buckets of four and more that
+hold several components.  Their nodes meet by a prefix filter: two sets of the
+wanted similarity share one of their rarest shingles, early enough in both to
+leave room for the overlap.  That loses no pair, and members of a group whose
+own changes set them too far apart meet nobody.  So nothing is compared all
+against all within a group of copies, and no bucket is capped.
 A comparison first estimates the similarity from the registers, corrected for
 chance collisions, then confirms on the full sets.
 """
@@ -28,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +180,40 @@ def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([d["a"].take(pa.array(sure, pa.int64())), d["b"].take(pa.array(sure, pa.int64()))], names=["a", "b"])
 
 
+def _shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, h): a row for each shingle of each node's text."""
+    for b in batches:
+        for node, text in zip(b.column("node").to_pylist(), b.column("_text").cast(pa.binary()).to_pylist(), strict=True):
+            s = shingle_set(text, width)
+            full = np.full(len(s), node), np.full(len(s), len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(full[0], pa.int64()), pa.array(full[1], pa.int64()), pa.array(s.astype(np.int64))], names=["node", "n", "h"])
+
+
+def prefix_pairs(texts: DataFrame, width: int, percent: int, own: Scratch) -> DataFrame:
+    """Pairs (a, b) that may reach the similarity, of rows (node, label, _text) with different labels; none that do is lost.
+
+    Shingles are ordered by how many nodes have them, then by hash.  Sets of
+    sizes x <= y with the similarity share at least percent / (100 + percent) *
+    (x + y) shingles, so the first shared one stands that early in both orders.
+    """
+    rows = own.keep(texts.select("node", "_text").mapInArrow(lambda it: _shingled(it, width), "node long, n long, h long"), "shingles")
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
+    share = percent / (100 + percent)
+    rest = lambda x: F.col("n") - F.ceil(F.col("n") * x - 1e-9)
+    prefix = rows.join(often.where(F.col("df") > 1), "h").withColumn("p", place)
+    # Shingles of one node only come first in its order: they shift the places of the others.
+    alone = rows.join(often.where(F.col("df") == 1), "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    prefix = prefix.join(alone, "node", "left").withColumn("p", F.col("p") + F.coalesce("alone", F.lit(0))).where(F.col("p") <= rest(percent / 100))
+    prefix = own.keep(prefix.join(texts.select("node", "label"), "node").select("h", "node", "label", "n", "p"), "prefix")
+    a = prefix.where(F.col("p") <= rest(2 * share)).select("h", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "n", "p")])
+    b = prefix.select("h", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", "p")])
+    order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
+    room = F.least(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p")) >= F.ceil((F.col("a_n") + F.col("b_n")) * share - 1e-9)
+    fits = order & (100 * F.col("a_n") >= percent * F.col("b_n")) & room & (F.col("a_label") != F.col("b_label"))
+    return a.join(b, (a["h"] == b["h"]) & fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with ``n_shingles``, ``component_id``, ``kept`` and ``survivor``.
 
@@ -205,8 +243,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = signed.join(later, "_rid", "left_anti")
 
     banded = nodes.select(F.col("_rid").alias("node"), F.explode("_keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
-    shared = own.keep(banded.join(shared, "key").select("key", "node", "low", "high"), "shared")
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("of")).where(F.col("of") > 1)
+    shared = own.keep(banded.join(shared, "key").select("key", "node", "low", "of"), "shared")
 
     signs = signed.select(F.col("_rid"), F.col("_n"), F.col("_reg"), F.col(text).alias("_text"))
     side = lambda s: signs.select(F.col("_rid").alias(s), F.col("_n").alias(f"n_{s}"), F.col("_reg").alias(f"reg_{s}"), F.col("_text").alias(f"text_{s}"))
@@ -222,21 +260,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = confirmed(shared.where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b")), "low")
     label = components(links, own, "c1")
 
-    def mixed(label: DataFrame) -> DataFrame:
-        """Rows of the shared buckets whose nodes are of more than one component, with their component."""
-        now = shared.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    def mixed(label: DataFrame, least: int) -> DataFrame:
+        """Rows of the shared buckets of ``least`` or more nodes that are of more than one component, with their component."""
+        now = shared.where(F.col("of") >= least).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         apart = now.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.max("node").alias("high")).where(F.col("_l") != F.col("_h"))
         return now.join(apart.select("key", "high"), "key")
 
-    rest = own.keep(mixed(label), "mixed1")
+    rest = own.keep(mixed(label, 3), "mixed1")
     if not rest.isEmpty():
         links = links.union(confirmed(rest.where(F.col("node") != F.col("high")).select(F.col("node").alias("a"), F.col("high").alias("b")), "high"))
         label = components(links, own, "c2")
-        rest = own.keep(mixed(label), "mixed2")
+        rest = own.keep(mixed(label, 4).select("node", "label").distinct(), "mixed2")
         if not rest.isEmpty():
-            left = rest.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"))
-            pairs = rest.select("key", F.col("node").alias("a"), "label").join(left, "key").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("_lb")))
-            links = links.union(confirmed(pairs.select("a", "b").distinct(), "rest"))
+            texts = rest.join(signs.select(F.col("_rid").alias("node"), "_text"), "node")
+            links = links.union(confirmed(prefix_pairs(texts, width, percent, own), "rest"))
             label = components(links, own, "c3")
 
     member = own.keep(member.join(label, "node", "left").select("_rid", "_id", F.coalesce("label", "node").alias("_label")), "labelled")
