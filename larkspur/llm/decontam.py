@@ -100,7 +100,7 @@ def _at_width(docs: DataFrame, items: DataFrame, width: int, doc_id: str, text:
     need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("m") + F.col("mw")) - 1e-9).cast("int")
     hits = hits.withColumn("need", need).where(F.size("at") >= F.col("need"))
     last = F.expr("words - (%d) - mw" % (width - 1))
-    starts = hits.select(*key, "item", "mw", last.alias("last"), F.expr("filter(transform(slice(at, 1, size(at) - need + 1), (p, j) -> struct(p AS p, at[j + need - 1] AS q)), x -> x.q < least(x.p, %s) + mw)" % ("words - (%d) - mw" % (width - 1))).alias("s"))
+    starts = hits.select(*key, "item", "mw", last.alias("last"), F.expr("filter(transform(slice(at, 1, greatest(size(at) - need + 1, 0)), (p, j) -> struct(p AS p, at[j + need - 1] AS q)), x -> x.q < least(x.p, %s) + mw)" % ("words - (%d) - mw" % (width - 1))).alias("s"))
     starts = starts.select(*key, "item", "mw", F.explode("s").alias("s"), "last").select(*key, "item", "mw", F.least("s.p", "last").alias("start")).distinct()
     starts = own.keep(starts, f"starts{width}")
 
