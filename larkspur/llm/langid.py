@@ -31,6 +31,8 @@ from larkspur.llm.runtime import ship
 SAMPLE_SYMBOLS = 30_000
 #: Documents drawn per language to fill that bound, and the longest that is drawn.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS = 64, 8_000
+#: Languages whose table of counts is broadcast.
+MOST_LANGUAGES = 10_000
 #: Symbols of a block.
 BLOCK = 1_024
 #: Characters parsed at once by a worker.
@@ -207,6 +209,8 @@ def draw_samples(labelled: DataFrame, key: Column, text: str = "text", lang: str
     counts = usable.groupBy(F.col(lang).alias("_lang")).agg(F.sum((F.length(text) <= SAMPLE_DOC_CHARS).cast("long")).alias("_short"), F.count(F.lit(1)).alias("_all"))
     n = F.when(F.col("_short") > 0, F.col("_short")).otherwise(F.col("_all"))
     counts = counts.select("_lang", (F.col("_short") == 0).alias("_long"), F.least(F.lit(1.0), 4.0 * SAMPLE_DOCS / n).alias("_share"))
+    if counts.count() <= MOST_LANGUAGES:  # a row each: far below what a broadcast bears
+        counts = F.broadcast(counts)
     drawn = rows.join(counts, ["_lang", "_long"]).where(F.col("_key") / float(2**63) < F.col("_share"))
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_text"))
     found: dict[str, str] = {}
