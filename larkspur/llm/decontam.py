@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import Scratch
+from larkspur.llm.runtime import Scratch, Shield
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -69,8 +69,8 @@ def row_key(doc_id: str, text: str) -> list[Column]:
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and an item found in it: ``_id``, ``_h``, ``_c`` (see :func:`row_key`), ``doc_id``, ``item_id``, ``start_word``, ``similarity``.
 
-    One row for each document and item, with the best window (the first of
-    equal ones).  Null, empty and wordless texts on either side are never
+    One row for each document and item, with the best window: of equal ones the
+    first that begins with a shared shingle or ends the document.  Null, empty and wordless texts on either side are never
     paired; equal rows count as one document; items of equal id and text count
     as one; empty tables give no rows.
     """
@@ -130,5 +130,5 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     own = Scratch(docs.sparkSession, "clean")
     key = ["_id", "_h", "_c"]
     bad = own.keep(contaminated(docs, items, doc_id, text).select(*key).distinct(), "bad")
-    keyed = docs.select("*", *row_key(doc_id, text))
-    return keyed.join(_small(bad), key, "left_anti").select(*[keyed[f"`{c}`"] for c in docs.columns])
+    shield = Shield(docs, **dict(zip(key, row_key(doc_id, text), strict=True)))
+    return shield.restore(shield.inner.join(_small(bad), key, "left_anti"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from larkspur.llm.runtime import ship
+from larkspur.llm.runtime import Shield, ship
 
 #: HTML's tag classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -374,4 +374,5 @@ def extract(pages: DataFrame, page: str = "html", into: str = "text") -> DataFra
     def found(column: pa.Array) -> pa.Array:
         return pa.array([main_text(p.as_py()) for p in column], pa.string())
 
-    return pages.withColumn(into, found(F.col(page)))
+    own = Shield(pages)
+    return own.restore(own.inner.withColumn(into, found(F.col(own(page)))), into)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from larkspur.llm.runtime import ship
+from larkspur.llm.runtime import Shield, ship
 
 #: Symbols of labelled text that a language's automaton is built from: the bound of the fitted sample.
 SAMPLE_SYMBOLS = 30_000
@@ -240,5 +240,6 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
             scores.append(b)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
 
-    out = docs.withColumn("_found", found(F.col(text)))
-    return out.withColumn(into, F.col("_found.lang")).withColumn(score, F.col("_found.score")).drop("_found")
+    own = Shield(docs)
+    out = own.inner.withColumn("_found", found(F.col(own(text))))
+    return own.restore(out.withColumn(into, F.col("_found.lang")).withColumn(score, F.col("_found.score")), into, score)

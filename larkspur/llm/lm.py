@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.runtime import Scratch, lowered_words, ship
+from larkspur.llm.runtime import Scratch, Shield, lowered_words, ship
 
 #: Stands for the end of a text; no word holds it.
 END = b"\n"
@@ -50,6 +50,8 @@ SIZE = 16
 HOT = 200_000
 #: Characters of the sample on which the vectors start.
 START_CHARS = 1_500_000
+#: Texts of that sample at most, however many share a key.
+START_TEXTS = 4_000
 NOISE = 48
 BATCH = 1_024
 RATE = 0.1
@@ -256,7 +258,7 @@ def fit_vectors(train: DataFrame, counts: Counts, held: Held, key, text: str = "
     if not size:
         return v.rows
     share = min(1.0, START_CHARS / size)
-    drawn = usable.where(F.shiftrightunsigned(F.xxhash64(key), 1) / float(2**63) < share).select(F.xxhash64(key).alias("k"), F.col(text).cast("binary").alias("t"))
+    drawn = usable.where(F.shiftrightunsigned(F.xxhash64(key), 1) / float(2**63) < share).select(F.xxhash64(key).alias("k"), F.col(text).cast("binary").alias("t")).orderBy("k").limit(START_TEXTS)
     texts = [bytes(r["t"]) for r in sorted(drawn.collect(), key=lambda r: (r["k"], r["t"]))]
     rng = np.random.default_rng(11)
     for _ in range(3):
@@ -350,10 +352,12 @@ def score_texts(docs: DataFrame, train: DataFrame, key, text: str = "text") -> D
     spark = docs.sparkSession
     ship(spark)
     own = Scratch(spark, "lm")
-    table, counts = count_tokens(train, own, text)
-    rows = fit_vectors(train, counts, Held(spark, counts), key, text)
+    train = train.select(F.col(text).alias("_text"), F.xxhash64(key).alias("_key"))
+    table, counts = count_tokens(train, own, "_text")
+    rows = fit_vectors(train, counts, Held(spark, counts), F.col("_key"), "_text")
     held, mass = Held(spark, counts, rows), counts.mass
-    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    shield = Shield(docs)
+    docs, outer, text = shield.inner, text, shield(text)
     pairs = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("tf", T.LongType())]))
     new = [("_rid", T.LongType()), ("_n", T.LongType()), ("_known", T.LongType()), ("_hot", T.DoubleType()), ("_lm", T.DoubleType()), ("_rare", pairs)]
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != text), *(T.StructField(*x) for x in new)])
@@ -366,4 +370,5 @@ def score_texts(docs: DataFrame, train: DataFrame, key, text: str = "text") -> D
     counted = F.col("_hot") + F.coalesce("_s", F.lit(0.0))
     out = out.withColumn("n_tokens", F.col("_n")).withColumn("n_known", F.col("_known") + F.coalesce("_k", F.lit(0)))
     out = out.withColumn("train_tokens", F.lit(counts.n).cast("long")).withColumn("base_score", counted - F.col("_n") * counts.base_log10())
-    return out.withColumn("score", counted + F.col("_lm")).drop("_rid", "_n", "_known", "_hot", "_lm", "_s", "_k")
+    out = out.withColumn("score", counted + F.col("_lm"))
+    return shield.restore(out, "n_tokens", "n_known", "train_tokens", "base_score", "score", without=outer)

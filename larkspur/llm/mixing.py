@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import Scratch, shuffle_partitions
+from larkspur.llm.runtime import Scratch, Shield, shuffle_partitions
 
 #: Weights by place in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -71,8 +71,10 @@ def mix(rows: DataFrame, key: Column, source: str = "source", size: str = "size"
     own = Scratch(spark, "mixing")
     buckets = 8 * shuffle_partitions(spark)
     key32 = F.conv(F.substring(F.col("_key"), 1, 8), 16, 10).cast("long")
-    slim = rows.drop("source_size", "target", "taken", "copies").withColumn("_key", key).withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
-    slim = own.keep(slim.withColumn("_bucket", F.shiftright(key32 * buckets, 32)).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))), "keyed")
+    shield = Shield(rows, _key=key)
+    size, source = F.coalesce(F.col(shield(size)).cast("long"), F.lit(0)), F.coalesce(F.concat(F.lit("="), shield(source)), F.lit("-"))
+    slim = shield.inner.withColumn("_size", size).withColumn("_bucket", F.shiftright(key32 * buckets, 32))
+    slim = own.keep(slim.withColumn("_source", source), "keyed")
     sums = own.keep(slim.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum")), "sums")
     totals = sums.groupBy("_source").agg(F.sum("_sum").alias("source_size"))
     named = totals.withColumn("source", F.when(F.col("_source") != "-", F.expr("substring(_source, 2)")))
@@ -89,4 +91,4 @@ def mix(rows: DataFrame, key: Column, source: str = "source", size: str = "size"
     else:
         more = F.least(F.greatest(left, F.lit(0)), F.col("_size"))
     out = out.withColumn("taken", (epochs * F.col("_size") + more).cast("long")).withColumn("copies", (epochs + (more > 0).cast("int")).cast("int"))
-    return out.drop("_key", "_size", "_bucket", "_source", "_before", "_start")
+    return shield.restore(out, "source_size", "target", "taken", "copies")

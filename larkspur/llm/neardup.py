@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.components import components
-from larkspur.llm.runtime import Scratch, lowered_words, ship
+from larkspur.llm.runtime import Scratch, Shield, lowered_words, ship
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     ship(spark)
     own = Scratch(spark, "neardup")
-    docs = docs.drop("n_shingles", "component_id", "kept", "survivor")
+    shield = Shield(docs)
+    docs, doc_id, text = shield.inner, shield(doc_id), shield(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("_rid", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType()), T.StructField("_reg", T.BinaryType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
     signed = own.keep(docs.mapInArrow(lambda it: _signed(it, text, width), schema), "signed")
 
@@ -280,4 +281,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     head = member.groupBy("_label").agg(F.min("_id").alias("component_id"), F.min(F.struct(F.col("_id").isNull(), "_id", "_rid"))["_rid"].alias("_head"))
     out = signed.drop("_digest", "_reg", "_keys").join(member.join(head, "_label").select("_rid", "component_id", "_head"), "_rid")
     out = out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id"))).withColumn("survivor", F.col("_rid") == F.col("_head"))
-    return out.withColumnRenamed("_n", "n_shingles").drop("_rid", "_head")
+    return shield.restore(out.withColumnRenamed("_n", "n_shingles"), "n_shingles", "component_id", "kept", "survivor")

@@ -24,8 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import ship
+from larkspur.llm.runtime import Shield, ship
 
+#: Expected draws; twice as many at most, however often an id recurs.
 LABELLED, POOL = 8_000, 8_000
 ROUNDS = 5
 #: Pseudo-labels that a view gives in a round, and how sure it has to be.
@@ -149,6 +150,8 @@ def _features(b: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", label: str = "quality") -> Model:
     """Co-trained model.  Documents with several labels take their mean, rounded, a half to 0; null ids and labels don't count."""
     ship(docs.sparkSession)
+    docs = docs.select(doc_id, text, source, lang, n_chars)
+    labels = labels.select(doc_id, label)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg((F.avg(label) > 0.5).cast("double").alias("_y"))
     n, total = known.count(), docs.count()
     key = F.shiftrightunsigned(F.xxhash64(doc_id), 1) / float(2**63)
@@ -160,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.string()), b.column("_y"), *x], names=["id", "y", "text", "meta"])
 
     def gathered(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-        got = rows.select(doc_id, "_y", *names).mapInArrow(vectors, "id string, y double, text binary, meta binary").collect()
+        got = rows.select(doc_id, "_y", *names).mapInArrow(vectors, "id string, y double, text binary, meta binary").orderBy(F.xxhash64("id")).limit(2 * LABELLED).collect()
         got.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], bytes(r["text"])))
         parts = [np.frombuffer(b"".join(bytes(r[k]) for r in got), np.float32).reshape(-1, size) for k, size in (("text", TEXT_SIZE), ("meta", META_SIZE))]
         return parts, np.array([r["y"] if r["y"] is not None else -1 for r in got])
@@ -186,4 +189,5 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", source: str
         b = pa.RecordBatch.from_arrays([t, s, la, n], names=names)
         return pa.array(model.score(_features(b, names)))
 
-    return docs.withColumn(into, scored(*[F.col(c) for c in names]))
+    own = Shield(docs)
+    return own.restore(own.inner.withColumn(into, scored(*[F.col(own(c)) for c in names])), into)

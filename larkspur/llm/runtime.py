@@ -75,6 +75,30 @@ class Scratch:
             pass
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Shield:
+    """A table under names of its own, so that an operator's working columns can't clash with it.
+
+    ``extra`` are working columns computed from the table, by their names inside.
+    """
+
+    def __init__(self, df: DataFrame, **extra: Column):
+        self.names = df.columns
+        self.inner = df.select(*[_quoted(c).alias(f"in{i}") for i, c in enumerate(self.names)], *[c.alias(k) for k, c in extra.items()])
+
+    def __call__(self, name: str) -> str:
+        return f"in{self.names.index(name)}"
+
+    def restore(self, out: DataFrame, *new: str, without: str | None = None) -> DataFrame:
+        """The table's columns and the new ones; a new one takes the place of one of its name, whatever the case."""
+        taken = {n.lower() for n in new}
+        old = [F.col(f"in{i}").alias(c) for i, c in enumerate(self.names) if c.lower() not in taken and c != without]
+        return out.select(*old, *new)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors that lack it on their path."""
     sc = spark.sparkContext

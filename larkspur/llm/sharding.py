@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from larkspur.llm.runtime import Scratch, shared_dir, ship, shuffle_partitions
+from larkspur.llm.runtime import Scratch, Shield, ship, shuffle_partitions
 
 #: Bits of a dimension's level.
 BITS = 4
@@ -93,13 +93,14 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
 
     ``tie`` orders rows of one curve cell and should tell rows apart; rows
     equal in all of it are interchangeable.  Nulls count as the lowest level;
-    an empty table stays empty.  Columns named as this operator's own
-    (``shard``, ``slot``, ``_cell``, ``_bucket``, ``_hash``) are replaced.
+    an empty table stays empty.  Columns named ``shard`` or ``slot`` are replaced.
     """
     spark = rows.sparkSession
     if len(dimensions) * bits > 24:
         raise ValueError("dimensions times bits is at most 24: the curve's cells are counted by one job")
     ship(spark)
+    shield = Shield(rows, _hash=F.xxhash64(*tie), **{f"_tie{i}": t for i, t in enumerate(tie)})
+    rows, dimensions, tie = shield.inner, [shield(d) for d in dimensions], [F.col(f"_tie{i}") for i in range(len(tie))]
 
     @pandas_udf("long")
     def curve(packed: pd.Series) -> pd.Series:
@@ -110,7 +111,7 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
     for i, level in enumerate(levels(rows, dimensions, bits)):
         packed = packed + F.shiftleft(level.cast("long"), bits * i)
     own = Scratch(spark, "sharding")
-    placed = own.keep(rows.drop("shard", "slot").withColumn("_hash", F.xxhash64(*tie)).withColumn("_cell", curve(packed)), "placed")
+    placed = own.keep(rows.withColumn("_cell", curve(packed)), "placed")
 
     # A bucket holds about an eighth of a shuffle partition's rows; a small cell is one bucket.
     cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
@@ -131,12 +132,9 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
     wide = more * (q + 1)
     shard = F.when(rank < wide, F.floor(rank / (q + 1))).otherwise(more + F.floor((rank - wide) / max(1, q)))
     slot = F.when(rank < wide, rank % (q + 1)).otherwise((rank - wide) % max(1, q))
-    return ranked.select("*", shard.cast("int").alias("shard"), slot.cast("long").alias("slot")).drop("_rank", "_first", "_bucket", "_hash", "_cell")
+    return shield.restore(ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")), "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder of files per shard, in slot order inside, so that file statistics prune by every dimension."""
     sharded.repartition(F.col("shard")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-
-
-__all__ = ["hilbert_index", "levels", "shard_rows", "shared_dir", "write_shards"]

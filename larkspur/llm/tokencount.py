@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from larkspur.llm.runtime import ship
+from larkspur.llm.runtime import Shield, ship
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies, with Unicode's White_Space for \s.
 PIECE = (
@@ -132,4 +132,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", into: str
     Arrow batch and REMEMBERED pieces of at most LONGEST_REMEMBERED characters.
     """
     ship(docs.sparkSession)
-    return docs.withColumn(into, token_count(F.col(text), vocabulary))
+    own = Shield(docs)
+    return own.restore(own.inner.withColumn(into, token_count(F.col(own(text)), vocabulary)), into)

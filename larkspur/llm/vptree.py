@@ -165,8 +165,8 @@ def nearest(vectors: DataFrame, is_query, k: int, factor: float = FACTOR, vec_id
 
     ``is_query`` is a condition on column ``id``.  A row is no neighbour of its
     own id.  Null, empty, zero and non-finite vectors and null ids take no part;
-    vectors of a dimension other than the most common one are refused.  Repeated
-    ids are candidates one by one.  An empty table gives an empty result.
+    vectors of different dimensions are refused.  Repeated rows are one query, but
+    candidates one by one.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, is_query, k: int, factor: float = FACTOR, vec_id
         raise ValueError(f"vectors of {dim} and {most_dim} components")
     shards, blocks = -(-max(n, 1) // SHARD_ROWS), -(-max(queries or 0, 1) // BLOCK_ROWS)
     hashed = F.shiftrightunsigned(F.xxhash64("id"), 1)
-    q = rows.where(is_query).select((hashed % blocks).cast("int").alias("block"), "id", "x")
+    q = rows.where(is_query).dropDuplicates(["id", "x"]).select((hashed % blocks).cast("int").alias("block"), "id", "x")
     # Each block goes to each shard: (blocks x shards) tasks of bounded size.
     q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     c = rows.select((hashed % shards).cast("int").alias("shard"), "id", "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
