@@ -23,9 +23,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,7 @@ RATE = 0.1
 #: Partitions that train side by side at most.
 TRAINERS = 1_024
 #: Tokens handled at once by a worker; distinct tokens counted before they are passed on.
-AT_ONCE, COUNTED = 400_000, 400_000
+AT_ONCE, COUNTED = 150_000, 200_000
 
 
 def surface(token: bytes) -> int:
@@ -89,7 +89,7 @@ class Index(dict):
         c = np.fromiter(hot.values(), np.float64, len(hot))
         self.log10 = np.log10(c + 0.5)
         self.classes = np.fromiter((i if i < SINGLE else surface(t) for i, t in enumerate(hot)), np.int64, len(hot))
-        self.room = len(hot) + 200_000
+        self.room = len(hot) + 100_000
 
     def __missing__(self, token: bytes) -> int:
         found = -1 - surface(token)
@@ -103,7 +103,13 @@ class Index(dict):
         return at, np.where(at >= 0, self.classes.take(np.maximum(at, 0), mode="clip") if len(self.classes) else 0, -1 - at)
 
 
-def portions(texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def texts_of(column: pa.Array) -> Iterator[bytes | None]:
+    """Texts as bytes, a few rows at a time, so that a batch isn't held twice."""
+    for i in range(0, len(column), 256):
+        yield from column.slice(i, 256).cast(pa.binary()).to_pylist()
+
+
+def portions(texts: Iterable[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Tokens of runs of texts, and how many each text has, END included."""
     tokens: list[bytes] = []
     lengths: list[int] = []
@@ -182,7 +188,7 @@ class Vectors:
         return table.ravel()
 
 
-def train_on(v: Vectors, texts: list[bytes | None], index: Index, mass: np.ndarray, rng: np.random.Generator) -> int:
+def train_on(v: Vectors, texts: Iterable[bytes | None], index: Index, mass: np.ndarray, rng: np.random.Generator) -> int:
     share = mass / mass.sum()
     noise_log, noise_at = np.log(share).astype(np.float32), np.cumsum(share)
     seen = 0
@@ -199,7 +205,7 @@ def train_on(v: Vectors, texts: list[bytes | None], index: Index, mass: np.ndarr
 def _counted(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     found: Counter[bytes] = Counter()
     for b in batches:
-        for tokens, _ in portions(b.column(text).cast(pa.binary()).to_pylist()):
+        for tokens, _ in portions(texts_of(b.column(text))):
             found.update(tokens)
             if len(found) >= COUNTED:
                 yield _rows(found)
@@ -269,7 +275,7 @@ def fit_vectors(train: DataFrame, counts: Counts, held: Held, key, text: str = "
         mine, seen = Vectors(*(x.copy() for x in start)), 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for b in batches:
-            seen += train_on(mine, b.column(0).cast(pa.binary()).to_pylist(), held.index(), mass, rng)
+            seen += train_on(mine, texts_of(b.column(0)), held.index(), mass, rng)
         if seen:
             flat = mine.rows.ravel().astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], names=["i", "x"])
@@ -287,7 +293,8 @@ class Held:
     """The frequent tokens and the parameters on each worker, from broadcasts; built once per worker process."""
 
     def __init__(self, spark, counts: Counts, rows: np.ndarray | None = None):
-        self.hot = spark.sparkContext.broadcast(counts.hot)
+        # Tokens hold no space, so one string and one array carry them all.
+        self.hot = spark.sparkContext.broadcast((b" ".join(counts.hot), np.fromiter(counts.hot.values(), np.int64, len(counts.hot))))
         self.rows = None if rows is None else spark.sparkContext.broadcast(rows)
         self.name = (spark.sparkContext.applicationId, self.hot._jbroadcast.id())
 
@@ -295,7 +302,7 @@ class Held:
         return {"hot": self.hot, "rows": self.rows, "name": self.name}
 
     def index(self) -> Index:
-        return _built(self.name, "index", lambda: Index(self.hot.value))
+        return _built(self.name, "index", lambda: Index(dict(zip(self.hot.value[0].split(b" "), self.hot.value[1].tolist(), strict=False))))
 
     def table(self) -> np.ndarray:
         return _built(self.name, "table", lambda: Vectors(self.rows.value).log10_table())
@@ -314,31 +321,31 @@ def _scored(batches: Iterator[pa.RecordBatch], text: str, held: Held, mass: np.n
     index, table, log_mass = held.index(), held.table(), np.log10(mass)
     ids = count(TaskContext.get().partitionId() << 33)
     for b in batches:
-        parts = []
-        for tokens, lengths in portions(b.column(text).cast(pa.binary()).to_pylist()):
+        done = 0
+        for tokens, lengths in portions(texts_of(b.column(text))):
+            rows = b.slice(done, len(lengths))
+            done += len(lengths)
             at, classes = index.look(tokens)
             one, two = contexts(classes, lengths)
             first = np.cumsum(lengths) - lengths
             known = at >= 0
             hot = np.where(known, index.log10.take(np.maximum(at, 0), mode="clip") if len(index.log10) else 0.0, 0.0)
             lm = table[(one * (CLASSES + 1) + two) * CLASSES + classes] - log_mass[classes]
-            rare, tf, ends = [], [], []
+            rare: list[bytes] = []
+            tf: list[int] = []
+            ends = [0]
             where = np.flatnonzero(~known)
             for i, j in zip(*(np.searchsorted(where, x) for x in (first, first + lengths)), strict=True):
                 c = Counter([tokens[k] for k in where[i:j]])
                 rare += c
                 tf += c.values()
-                ends.append(len(c))
-            parts.append((lengths, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(hot, first), np.add.reduceat(lm.astype(np.float64), first), rare, tf, ends))
-        if not parts:
-            continue
-        n, known, hot, lm = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        rare, tf, ends = (list(chain.from_iterable(p[i] for p in parts)) for i in (4, 5, 6))
-        pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(tf, pa.int64())], ["token", "tf"])
-        lists = pa.ListArray.from_arrays(np.cumsum([0, *ends]).astype(np.int32), pairs)
-        new = [pa.array([next(ids) for _ in range(b.num_rows)], pa.int64()), pa.array(n, pa.int64()), pa.array(known), pa.array(hot), pa.array(lm), lists]
-        keep = [(c, x) for c, x in zip(b.schema.names, b.columns, strict=True) if c != text]
-        yield pa.RecordBatch.from_arrays([*(x for _, x in keep), *new], names=[*(c for c, _ in keep), "_rid", "_n", "_known", "_hot", "_lm", "_rare"])
+                ends.append(len(rare))
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(tf, pa.int64())], ["token", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), hot, lm.astype(np.float64))]
+            new = [pa.array([next(ids) for _ in lengths], pa.int64()), pa.array(lengths.astype(np.int64)), *map(pa.array, sums), lists]
+            keep = [(c, x) for c, x in zip(rows.schema.names, rows.columns, strict=True) if c != text]
+            yield pa.RecordBatch.from_arrays([*(x for _, x in keep), *new], names=[*(c for c, _ in keep), "_rid", "_n", "_known", "_hot", "_lm", "_rare"])
 
 
 def score_texts(docs: DataFrame, train: DataFrame, key, text: str = "text") -> DataFrame:
