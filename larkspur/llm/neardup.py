@@ -44,6 +44,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Candidates estimated below the threshold less this go no further: 5 standard errors of REGISTERS trials at 0.8.
 SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
+#: Nodes whose numbers are broadcast to pick their rows; with more, the join is left to Spark.
+BROADCAST_NODES = 500_000
 #: Word hashes that a worker remembers; at the bound it starts afresh.
 REMEMBERED = 400_000
 
@@ -158,19 +160,27 @@ def _signed(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterato
         yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "_rid", "_n", "_digest", "_reg", "_keys"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Confirmed pairs (a, b) of rows (a, b, and of each side n, registers, text); rows with equal b stand together."""
-    last, last_set = None, None
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sizes fit and whose registers promise the similarity, of rows (a, b, and of each side n and registers)."""
     for batch in batches:
-        d = {k: batch.column(k) for k in batch.schema.names}
-        d |= {k: d[k].cast(pa.binary()) for k in ("text_a", "text_b")}
         if not batch.num_rows:
             continue
+        d = {k: batch.column(k) for k in batch.schema.names}
         n_a, n_b = d["n_a"].to_numpy(), d["n_b"].to_numpy()
         reg = [np.frombuffer(b"".join(d[k].to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("reg_a", "reg_b")]
-        near = np.flatnonzero(estimate(*reg, n_a, n_b) >= percent / 100 - SLACK)
+        fit = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+        near = pa.array(np.flatnonzero(fit & (estimate(*reg, n_a, n_b) >= percent / 100 - SLACK)))
+        yield pa.RecordBatch.from_arrays([d["a"].take(near), d["b"].take(near)], names=["a", "b"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed pairs (a, b) of rows (a, b, and of each side the text); rows with equal b stand together."""
+    last, last_set = None, None
+    for batch in batches:
+        d = {k: batch.column(k) for k in batch.schema.names}
+        d |= {k: d[k].cast(pa.binary()) for k in ("text_a", "text_b")}
         sure = []
-        for i in near.tolist():
+        for i in range(batch.num_rows):
             if (b := d["b"][i].as_py()) != last:
                 last, last_set = b, shingle_set(d["text_b"][i].as_py(), width)
             s = shingle_set(d["text_a"][i].as_py(), width)
@@ -247,16 +257,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("of")).where(F.col("of") > 1)
     shared = own.keep(banded.join(shared, "key").select("key", "node", "low", "of"), "shared")
 
-    signs = signed.select(F.col("_rid"), F.col("_n"), F.col("_reg"), F.col(text).alias("_text"))
-    side = lambda s: signs.select(F.col("_rid").alias(s), F.col("_n").alias(f"n_{s}"), F.col("_reg").alias(f"reg_{s}"), F.col("_text").alias(f"text_{s}"))
+    texts = signed.select("_rid", F.col(text).alias("_text"))
+
+    def sides(pairs: DataFrame, **columns: str) -> DataFrame:
+        """Pairs with columns of both nodes, named <name>_a and <name>_b; only the nodes that occur are dealt out."""
+        nodes = pairs.select(F.col("a").alias("_rid")).union(pairs.select(F.col("b").alias("_rid"))).distinct()
+        few = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+        used = signed.join(few, "_rid", "left_semi")
+        for side in ("a", "b"):
+            pairs = pairs.join(used.select(F.col("_rid").alias(side), *[F.col(c).alias(f"{k}_{side}") for k, c in columns.items()]), side)
+        return pairs
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs that are links; a is the side with more pairs of its own, b the one that recurs."""
-        size = signed.select("_rid", "_n")
-        fit = pairs.join(size.select(F.col("_rid").alias("a"), F.col("_n").alias("_na")), "a").join(size.select(F.col("_rid").alias("b"), F.col("_n").alias("_nb")), "b")
-        fit = own.keep(fit.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b").distinct(), f"{name}-pairs")
-        rows = fit.join(side("a"), "a").join(side("b"), "b")
-        return own.keep(rows.mapInArrow(lambda it: _linked(it, width, percent), "a long, b long"), f"{name}-links")
+        """Pairs that are links."""
+        pairs = own.keep(pairs.distinct(), f"{name}-pairs")
+        near = own.keep(sides(pairs, n="_n", reg="_reg").mapInArrow(lambda it: _near(it, percent), "a long, b long"), f"{name}-near")
+        return own.keep(sides(near, text=text).mapInArrow(lambda it: _linked(it, width, percent), "a long, b long"), f"{name}-links")
 
     links = confirmed(shared.where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b")), "low")
     label = components(links, own, "c1")
@@ -264,17 +280,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def mixed(label: DataFrame, least: int) -> DataFrame:
         """Rows of the shared buckets of ``least`` or more nodes that are of more than one component, with their component."""
         now = shared.where(F.col("of") >= least).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        apart = now.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.max("node").alias("high")).where(F.col("_l") != F.col("_h"))
-        return now.join(apart.select("key", "high"), "key")
+        apart = now.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.max(F.struct("node", "label")).alias("high")).where(F.col("_l") != F.col("_h"))
+        return now.join(apart.select("key", F.col("high.node").alias("high"), F.col("high.label").alias("high_label")), "key")
 
     rest = own.keep(mixed(label, 3), "mixed1")
     if not rest.isEmpty():
-        links = links.union(confirmed(rest.where(F.col("node") != F.col("high")).select(F.col("node").alias("a"), F.col("high").alias("b")), "high"))
+        links = links.union(confirmed(rest.where(F.col("label") != F.col("high_label")).select(F.col("node").alias("a"), F.col("high").alias("b")), "high"))
         label = components(links, own, "c2")
         rest = own.keep(mixed(label, 4).select("node", "label").distinct(), "mixed2")
         if not rest.isEmpty():
-            texts = rest.join(signs.select(F.col("_rid").alias("node"), "_text"), "node")
-            links = links.union(confirmed(prefix_pairs(texts, width, percent, own), "rest"))
+            few = F.broadcast(rest) if rest.count() <= BROADCAST_NODES else rest
+            told = few.join(texts.withColumnRenamed("_rid", "node"), "node")
+            links = links.union(confirmed(prefix_pairs(told, width, percent, own), "rest"))
             label = components(links, own, "c3")
 
     member = own.keep(member.join(label, "node", "left").select("_rid", "_id", F.coalesce("label", "node").alias("_label")), "labelled")
