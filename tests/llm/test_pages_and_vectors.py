@@ -138,3 +138,21 @@ def test_page_oracle_shape(spark):
     out = queries.QUERIES["op7_main_text"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert all(r.n_chars == len(r.text) and r.text for r in out.collect())
+
+
+def test_pipeline_edges(spark, odd, none):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for docs in (odd, none):
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name == "shard":
+                assert {"shard", "slot"} <= set(out.columns)
+                assert out.count() == docs.count()
+            else:
+                assert out.columns == docs.columns
+                kept = {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()}
+                assert kept <= {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+                if name == "language_id":
+                    assert kept == {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or "")}
