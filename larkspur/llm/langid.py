@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +36,7 @@ MOST_LANGUAGES = 10_000
 #: Symbols of a block.
 BLOCK = 1_024
 #: Characters parsed at once by a worker.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 #: Symbols of the alphabet: separator, any other letter, and the most frequent characters of the samples.
 ALPHABET = 64
 SEPARATOR, OTHER = 0, 1
@@ -181,7 +181,7 @@ def languages(samples: tuple[tuple[str, str], ...]) -> Languages:
     return Languages(samples)
 
 
-def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+def portions(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     """Runs of texts of AT_ONCE characters, or one longer text."""
     part: list[str | None] = []
     n = 0
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
         model = languages(samples)
         names: list[str] = []
         scores: list[np.ndarray] = [np.zeros(0)]
-        for part in portions(texts.to_pylist()):
+        for part in portions(t.as_py() for t in texts):
             a, b = model.identify(part)
             names += a
             scores.append(b)

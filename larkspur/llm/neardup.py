@@ -47,7 +47,7 @@ SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 #: Nodes whose numbers are broadcast to pick their rows; with more, the join is left to Spark.
 BROADCAST_NODES = 500_000
 #: Word hashes that a worker remembers; at the bound it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class WordHashes(dict):

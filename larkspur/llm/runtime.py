@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Rows that a Python worker gets at once.  Texts may be long, so this is far below Spark's default of 10,000.
+BATCH_ROWS = 1_024
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _SHIPPED: set[str] = set()
 
 
@@ -100,8 +104,10 @@ class Shield:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that lack it on their path."""
+    """Make this package importable on executors that lack it on their path, and keep the session's Arrow batches small."""
     sc = spark.sparkContext
+    if int(spark.conf.get(_BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[2]
     if sc.applicationId in _SHIPPED:
         return
