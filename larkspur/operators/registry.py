@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.engine import Engine
-from larkspur.schema import ColumnDef, TableDef
+from larkspur.plans.bind import bind
+from larkspur.plans.logical import scans
+from larkspur.schema import ColumnDef, Schema, TableDef
+from larkspur.sql.parser import parse
 from larkspur.types import BOOL, INT64, TEXT, UINT64
 
 _KINDS = {"I": INT64, "T": TEXT, "B": BOOL, "U": UINT64}
@@ -42,6 +47,7 @@ TABLES = [
 ]
 #: Orders with NULLs and a truth value, which the test tables lack, and with an unsigned key.
 ORDERS_N = _table(20, "orders_n", "o_orderkey:I o_custkey:I? o_orderstatus:T o_orderpriority:T active:B? o_unsigned:U?")
+ALL = [*TABLES, ORDERS_N]
 ORDERS_N_SQL = """WITH orders_n AS (
   SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey AS BIGINT) END AS o_custkey, o_orderstatus, o_orderpriority,
     CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 3 = 0 END AS active, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey AS BIGINT) END AS o_unsigned
@@ -49,11 +55,15 @@ ORDERS_N_SQL = """WITH orders_n AS (
 """
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """The test tables, bound."""
+def engine(spark: SparkSession, sf_dir: str, sql: str | None = None) -> Engine:
+    """The test tables, or those that a statement reads, bound."""
+    used = {t.name for t in ALL} if sql is None else {s.table_name for s in scans(bind(Schema(ALL), parse(sql)).plan)}
     found = Engine(spark)
     for t in TABLES:
-        found.bind_parquet(t, f"{sf_dir}/{t.name}.parquet")
+        if t.name in used:
+            found.bind_parquet(t, f"{sf_dir}/{t.name}.parquet")
+    if ORDERS_N.name not in used:
+        return found
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.col("o_orderkey")
     found.bind_frame(
@@ -137,13 +147,11 @@ def _unsigned_as_long(rows: DataFrame) -> DataFrame:
 
 
 def _statement(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _unsigned_as_long(engine(spark, sf_dir).query(sql).frame)
+    return lambda spark, sf_dir: _unsigned_as_long(engine(spark, sf_dir, sql).query(sql).frame)
 
 
 def _copy(spark: SparkSession, sf_dir: str) -> Engine:
     """A managed table ``pairs`` of the nations, in the session's shared folder if it has one."""
-    import uuid
-
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
     e = Engine(spark)
     e.create([(_table(1, "pairs", "id:I a:I b:I? note:T?"), f"{shared.rstrip('/')}/pairs-{uuid.uuid4().hex}")])
@@ -184,15 +192,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement
 
 def _oracle(name: str, sql: str) -> str:
     """The same statement over views with this engine's types and names; sums and counts as 64-bit numbers under their names."""
-    import re
-
-    from larkspur.plans import logical as L
-    from larkspur.plans.bind import bind
-    from larkspur.schema import Schema
-    from larkspur.sql.parser import parse
-
-    q = bind(Schema([*TABLES, ORDERS_N]), parse(sql))
-    used = dict.fromkeys(s.table_name for s in L.scans(q.plan))
+    q = bind(Schema(ALL), parse(sql))
+    used = dict.fromkeys(s.table_name for s in scans(q.plan))
     views = []
     for t in TABLES:
         if t.name in used:
