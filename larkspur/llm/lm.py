@@ -240,8 +240,9 @@ def count_tokens(train: DataFrame, own: Scratch, text: str = "text") -> tuple[Da
         if room < 0:
             break
         least = s["least"]
-    rows = counts.where(F.col("c") >= least).collect()
-    hot = {bytes(r["token"]): r["c"] for r in sorted(rows, key=lambda r: (-r["c"], r["token"]))}
+    rows = counts.where(F.col("c") >= least).toArrow()
+    found = zip(rows.column("token").to_pylist(), rows.column("c").to_pylist(), strict=True)
+    hot = dict(sorted(found, key=lambda x: (-x[1], x[0])))
     single = [*hot][:SINGLE]
     got = counts.mapInArrow(lambda it, s=frozenset(single): _masses(it, s), "class long, mass double").groupBy("class").agg(F.sum("mass").alias("mass")).collect()
     mass = np.full(CLASSES, 0.5)
