@@ -74,7 +74,8 @@ def mix(rows: DataFrame, key: Column, source: str = "source", size: str = "size"
     shield = Shield(rows, _key=key)
     size, source = F.coalesce(F.col(shield(size)).cast("long"), F.lit(0)), F.coalesce(F.concat(F.lit("="), shield(source)), F.lit("-"))
     slim = shield.inner.withColumn("_size", size).withColumn("_bucket", F.shiftright(key32 * buckets, 32))
-    slim = own.keep(slim.withColumn("_source", source), "keyed")
+    # Computed anew wherever it is read, always to the same values: the rows may be wide and aren't written again.
+    slim = slim.withColumn("_source", source)
     sums = own.keep(slim.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum")), "sums")
     totals = sums.groupBy("_source").agg(F.sum("_sum").alias("source_size"))
     named = totals.withColumn("source", F.when(F.col("_source") != "-", F.expr("substring(_source, 2)")))

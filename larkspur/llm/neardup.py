@@ -47,7 +47,7 @@ SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 #: Nodes whose numbers are broadcast to pick their rows; with more, the join is left to Spark.
 BROADCAST_NODES = 500_000
 #: Word hashes that a worker remembers; at the bound it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class WordHashes(dict):
@@ -158,6 +158,7 @@ def _signed(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterato
                 keys.append(np.zeros(0, np.int64))
         new = [pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(reg, pa.binary()), pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))]
         yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "_rid", "_n", "_digest", "_reg", "_keys"])
+        pa.default_memory_pool().release_unused()
 
 
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

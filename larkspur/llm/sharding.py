@@ -110,8 +110,8 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
     packed = F.lit(0).cast("long")
     for i, level in enumerate(levels(rows, dimensions, bits)):
         packed = packed + F.shiftleft(level.cast("long"), bits * i)
-    own = Scratch(spark, "sharding")
-    placed = own.keep(rows.withColumn("_cell", curve(packed)), "placed")
+    # Computed anew wherever it is read, always to the same values: the rows may be wide and aren't written again.
+    placed = rows.withColumn("_cell", curve(packed))
 
     # A bucket holds about an eighth of a shuffle partition's rows; a small cell is one bucket.
     cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
@@ -123,7 +123,7 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
     counts = split.groupBy("_cell", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most one row of counts per eight of a partition's rows: a few bytes each, whatever the texts.
     first = counts.select("_cell", "_bucket", (F.sum("_n").over(Window.orderBy("_cell", "_bucket")) - F.col("_n")).alias("_first"))
-    first = own.keep(first, "first")
+    first = Scratch(spark, "sharding").keep(first, "first")
     within = Window.partitionBy("_cell", "_bucket").orderBy(F.shiftrightunsigned("_hash", 33), *tie)
     ranked = split.withColumn("_rank", F.row_number().over(within) - 1).join(first, ["_cell", "_bucket"])
     rank = F.col("_rank") + F.col("_first")
