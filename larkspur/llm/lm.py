@@ -1,22 +1,27 @@
 """Scoring texts by a log-bilinear neural language model.
 
-The model predicts the class of the next token from the classes of the two
-before it.  A context's vector is the sum of a vector for each place, a class's
-score the product of that with the class's own vector plus a bias.  The most
-frequent tokens are classes of their own; all others share SURFACES classes by
-their first and last letters, so that unseen tokens have a class as well.  In a
-class a token's probability comes from its count over the whole corpus, with
-half a count added to each known token and for all unknown ones.  So the
-probabilities of all tokens, known or not, add up to one.
-
-The vectors are trained in numpy by noise-contrastive estimation over all
-training texts: a start on a bounded sample, then every partition goes on by
-itself over its own texts and the results are averaged by tokens seen.  For
-scoring, batched matrix products over all contexts give normalised log
-probabilities once per worker, and every token is one look-up.
-
-Counts are distributed: a bounded number of frequent tokens is broadcast, the
-rest is joined by key.
+The model predicts the next token from the two before it.  A context's vector
+is the sum of two vectors for each place: the token's class's and the token's
+own.  A class's score is the product of that with the class's vector plus a
+bias.  The most frequent tokens are classes of their own; all others share
+SURFACES classes by their first and last letters, so that unseen tokens have a
+class as well.  In a class a binary tree leads to each token, a node's vector
+and the context's giving the chance of either side.  Every token counted OWN
+times or more has its own leaf and context vectors, however many these are.
+Rarer and unknown ones share a leaf of their class and, as context, the
+class's vector; in that leaf a token's probability comes from its count over
+the whole corpus, with half a count added to each known token and for all
+unknown ones.  So the probabilities of all tokens, known or not, add up to one.
+
+The vectors are trained in numpy over all training texts, those of classes by
+noise-contrastive estimation, those of trees by exact likelihood: a start on a
+bounded sample, then every partition goes on by itself over its own texts and
+the results are averaged, a class's by tokens seen, a token's and a node's by
+the steps that changed them.  Scores are normalised by batched matrix products
+over the classes and by the tree's chances.
+
+Counts are distributed: the tokens with vectors, and up to HOT frequent ones,
+are broadcast, the rest is joined by key.
 """
 
 from __future__ import annotations
@@ -46,7 +51,9 @@ CLASSES = SINGLE + SURFACES
 #: Context class before the first token.
 START = CLASSES
 SIZE = 16
-#: Frequent tokens whose counts every worker holds.
+#: A token counted as often as this has vectors of its own.
+OWN = 100
+#: Frequent tokens whose counts every worker holds; more if more have vectors.
 HOT = 200_000
 #: Characters of the sample on which the vectors start.
 START_CHARS = 1_500_000
@@ -59,6 +66,8 @@ RATE = 0.1
 TRAINERS = 1_024
 #: Tokens handled at once by a worker; distinct tokens counted before they are passed on.
 AT_ONCE, COUNTED = 150_000, 200_000
+#: Rows of parameters that are averaged together.
+BLOCK = 4_096
 
 
 def surface(token: bytes) -> int:
@@ -90,6 +99,8 @@ class Index(dict):
         self.log10 = np.log10(c + 0.5)
         self.classes = np.fromiter((i if i < SINGLE else surface(t) for i, t in enumerate(hot)), np.int64, len(hot))
         self.room = len(hot) + 100_000
+        #: Tokens with vectors besides the single ones: places SINGLE and on.
+        self.own = max(0, int((c >= OWN).sum()) - SINGLE)
 
     def __missing__(self, token: bytes) -> int:
         found = -1 - surface(token)
@@ -103,6 +114,69 @@ class Index(dict):
         return at, np.where(at >= 0, self.classes.take(np.maximum(at, 0), mode="clip") if len(self.classes) else 0, -1 - at)
 
 
+class Tree:
+    """Huffman trees of the classes: which nodes lead to a leaf, and which side of them.
+
+    Leaves: the ``own`` tokens, then each surface class's leaf of all others,
+    then one without nodes, for single tokens.
+    """
+
+    def __init__(self, index: Index, mass: np.ndarray):
+        own = self.own = index.own
+        kept = 10.0 ** index.log10[SINGLE : SINGLE + own]
+        of = index.classes[SINGLE : SINGLE + own] - SINGLE
+        rest = np.maximum(mass[SINGLE:] - np.bincount(of, kept, SURFACES), 0.5)
+        self.log10 = np.log10(np.concatenate([kept, rest, [1.0]]))
+        weight = np.round(np.concatenate([kept, rest]) * 2).tolist()  # counts and halves: whole numbers
+        leaves = own + SURFACES
+        parent, side = np.full(leaves + own, -1), np.zeros(leaves + own, np.float32)
+        self.bias = np.zeros(own, np.float32)
+        made = leaves
+        for c in range(SURFACES):
+            # Both queues ascend: leaves by weight, and nodes as they are made.
+            queue = [*np.flatnonzero(of == c)[::-1].tolist()]
+            queue.insert(int(np.searchsorted([weight[i] for i in queue], weight[own + c])), own + c)
+            i, n = 0, made
+            for _ in range(len(queue) - 1):
+                pair = []
+                for _ in (0, 1):
+                    if i < len(queue) and (n == made or weight[queue[i]] <= weight[n]):
+                        pair.append(queue[i])
+                        i += 1
+                    else:
+                        pair.append(n)
+                        n += 1
+                parent[pair], side[pair[1]] = made, 1
+                self.bias[made - leaves] = np.log(weight[pair[1]] / weight[pair[0]])
+                weight.append(weight[pair[0]] + weight[pair[1]])
+                made += 1
+        at, leaf, found = np.arange(leaves), np.arange(leaves), []
+        while len(at):
+            on = parent[at] >= 0
+            at, leaf = at[on], leaf[on]
+            found.append((leaf, parent[at] - leaves, side[at]))
+            at = parent[at]
+        leaf, node, side = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(leaf, kind="stable")
+        self.nodes, self.sides = node[by].astype(np.int32), side[by]
+        self.length = np.bincount(leaf, minlength=leaves + 1)
+        self.first = np.cumsum(self.length) - self.length
+
+    def places(self, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own number (``own``: none) and leaf of each token."""
+        has = (at >= SINGLE) & (at < SINGLE + self.own)
+        return np.where(has, at - SINGLE, self.own), np.where(has, at - SINGLE, self.own + np.where(classes < SINGLE, SURFACES, classes - SINGLE))
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and sides on the way to each leaf, whose way it is; which leaves have one and where it begins."""
+        n = self.length[leaf]
+        who = np.repeat(np.arange(len(leaf)), n)
+        begin = np.cumsum(n) - n
+        at = np.arange(len(who)) + (self.first[leaf] - begin)[who]
+        has = np.flatnonzero(n)
+        return self.nodes[at], self.sides[at], who, has, begin[has]
+
+
 def texts_of(column: pa.Array) -> Iterator[bytes | None]:
     """Texts as bytes, a few rows at a time, so that a batch isn't held twice."""
     for i in range(0, len(column), 256):
@@ -125,48 +199,81 @@ def portions(texts: Iterable[bytes | None]) -> Iterator[tuple[list[bytes], np.nd
         yield tokens, np.array(lengths)
 
 
-def contexts(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes one and two places before each token of the same text."""
+def contexts(classes: np.ndarray, lengths: np.ndarray, start: int = START) -> tuple[np.ndarray, np.ndarray]:
+    """Classes (or other numbers) one and two places before each token of the same text."""
     first = np.cumsum(lengths) - lengths
     one, two = np.empty_like(classes), np.empty_like(classes)
     one[1:], two[2:] = classes[:-1], classes[:-2]
-    one[first] = two[first] = START
+    one[first] = two[first] = start
     second = first + 1
-    two[second[second < len(two)]] = START
+    two[second[second < len(two)]] = start
     return one, two
 
 
+#: Rows of the classes' parameters.
+SHARED = 2 * (CLASSES + 1) + CLASSES
+
+
 class Vectors:
-    """Parameters: context vectors by place, class vectors, biases, in one matrix of rows."""
+    """Parameters in one matrix of rows: context vectors by place, class vectors with biases; then the tokens' own context vectors by place (the last one for tokens without) and the tree nodes with biases."""
 
-    def __init__(self, rows: np.ndarray, sums: np.ndarray | None = None):
+    def __init__(self, rows: np.ndarray, sums: np.ndarray | None = None, own_sums: np.ndarray | None = None):
         self.rows = rows
-        self.sums = np.full_like(rows, 1e-4) if sums is None else sums
-        k = CLASSES + 1
-        self.one, self.two, self.out = rows[:k, :SIZE], rows[k : 2 * k, :SIZE], rows[2 * k :, :SIZE]
-        self.bias = rows[2 * k :, SIZE]
+        self.sums = np.full((SHARED, SIZE + 1), 1e-4, np.float32) if sums is None else sums
+        #: Of tokens and nodes: a row's mean square, and the steps that changed it.
+        self.own_sums = np.full(len(rows) - SHARED, 1e-4, np.float32) if own_sums is None else own_sums
+        self.hits = np.zeros(len(rows), np.float32)
+        k, own = CLASSES + 1, (len(rows) - SHARED - 2) // 3
+        self.own = own
+        self.one, self.two, self.out = rows[:k, :SIZE], rows[k : 2 * k, :SIZE], rows[2 * k : SHARED, :SIZE]
+        self.bias = rows[2 * k : SHARED, SIZE]
+        self.at_one, self.at_two, self.at_node = SHARED, SHARED + own + 1, SHARED + 2 * (own + 1)
 
     @staticmethod
-    def fresh(mass: np.ndarray) -> Vectors:
+    def fresh(mass: np.ndarray, tree: Tree | None = None) -> Vectors:
+        """Random class vectors; tokens and nodes start as counts alone have it."""
         rng = np.random.default_rng(7)
-        rows = np.zeros((2 * (CLASSES + 1) + CLASSES, SIZE + 1), np.float32)
-        rows[:, :SIZE] = rng.normal(0, 0.1, (len(rows), SIZE))
+        own = tree.own if tree else 0
+        rows = np.zeros((SHARED + 3 * own + 2, SIZE + 1), np.float32)
+        rows[:SHARED, :SIZE] = rng.normal(0, 0.1, (SHARED, SIZE))
         v = Vectors(rows)
         v.bias[:] = np.log(mass / mass.sum())
+        if own:
+            rows[v.at_node :, SIZE] = tree.bias
         return v
 
-    def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise_log: np.ndarray, noise_at: np.ndarray, rng: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation: tell each target from NOISE draws of the classes' own shares."""
+    def context(self, one: np.ndarray, two: np.ndarray, own_one: np.ndarray, own_two: np.ndarray) -> np.ndarray:
         r = self.one[one] + self.two[two]
+        if self.own:
+            r += self.rows[self.at_one + own_one, :SIZE]
+            r += self.rows[self.at_two + own_two, :SIZE]
+        return r
+
+    def train(self, before: list[np.ndarray], target: np.ndarray, leaf: np.ndarray, tree: Tree, noise_log: np.ndarray, noise_at: np.ndarray, rng: np.random.Generator) -> None:
+        """One step: tell each target class from NOISE draws of the classes' own shares, and raise the likelihood of the way to its leaf."""
+        one, two, own_one, own_two = before
+        r = self.context(*before)
         q = self.out[target]
         drawn = np.searchsorted(noise_at, rng.random(NOISE)).clip(0, CLASSES - 1)
         shift = noise_log + np.float32(np.log(NOISE))
         up = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, q) + self.bias[target] - shift[target]))
         qn = self.out[drawn]
         down = -1 / (1 + np.exp(-(r @ qn.T + self.bias[drawn] - shift[drawn])))
-        grad = np.zeros_like(self.rows)
+        grad = np.zeros((SHARED, SIZE + 1), np.float32)
         k = CLASSES + 1
         gr = up[:, None] * q + down @ qn
+        steps = []
+        if self.own:
+            node, side, who, has, begin = tree.paths(leaf)
+            if len(node):
+                w, rw = self.rows[self.at_node + node], r[who]
+                g = side - 1 / (1 + np.exp(-np.einsum("ij,ij->i", w[:, :SIZE], rw) - w[:, SIZE]))
+                gr[has] += np.add.reduceat(g[:, None] * w[:, :SIZE], begin, axis=0)
+                steps.append((self.at_node + node, np.column_stack([g[:, None] * rw, g])))
+            for base, at in ((self.at_one, own_one), (self.at_two, own_two)):
+                mine = np.flatnonzero(at < self.own)
+                if len(mine):
+                    steps.append((base + at[mine], gr[mine]))
         for base, at, g in ((0, one, gr), (k, two, gr), (2 * k, target, np.column_stack([up[:, None] * r, up]))):
             order = np.argsort(at, kind="stable")
             first = np.flatnonzero(np.diff(at[order], prepend=-1))
@@ -174,7 +281,40 @@ class Vectors:
         np.add.at(grad[2 * k :, :SIZE], drawn, down.T @ r)
         np.add.at(grad[2 * k :, SIZE], drawn, down.sum(axis=0))
         self.sums += grad * grad
-        self.rows += RATE * grad / np.sqrt(self.sums)
+        self.rows[:SHARED] += RATE * grad / np.sqrt(self.sums)
+        for at, g in steps:
+            self._step(at, g)
+
+    def _step(self, at: np.ndarray, g: np.ndarray) -> None:
+        """A step of the rows ``at`` (repeated) of tokens or nodes alone."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        row, s = at[first], np.add.reduceat(g[order], first, axis=0)
+        self.own_sums[row - SHARED] += np.einsum("ij,ij->i", s, s) / s.shape[1]
+        self.rows[row, : s.shape[1]] += s * (RATE / np.sqrt(self.own_sums[row - SHARED]))[:, None]
+        self.hits[row] += 1
+
+    def log10_of(self, before: list[np.ndarray], target: np.ndarray, leaf: np.ndarray, tree: Tree) -> np.ndarray:
+        """log10 P(class | context) P(leaf | class, context)."""
+        out = np.empty(len(target))
+        for i in range(0, len(target), BATCH):
+            j = slice(i, i + BATCH)
+            r = self.context(*(x[j] for x in before))
+            s = r @ self.out.T
+            s += self.bias
+            s -= s.max(axis=1, keepdims=True)
+            x = s[np.arange(len(s)), target[j]].astype(np.float64)
+            np.exp(s, out=s)
+            x -= np.log(s.sum(axis=1))
+            if self.own:
+                node, side, who, has, begin = tree.paths(leaf[j])
+                if len(node):
+                    w = self.rows[self.at_node + node]
+                    y = (np.einsum("ij,ij->i", w[:, :SIZE], r[who]) + w[:, SIZE]) * (1 - 2 * side)
+                    x[has] -= np.add.reduceat(np.log1p(np.exp(-np.abs(y))) + np.maximum(y, 0), begin)
+            out[j] = x
+        return out / np.log(10)
 
     def log10_table(self) -> np.ndarray:
         """log10 P(class | two classes before) for all contexts, flat."""
@@ -188,17 +328,23 @@ class Vectors:
         return table.ravel()
 
 
-def train_on(v: Vectors, texts: Iterable[bytes | None], index: Index, mass: np.ndarray, rng: np.random.Generator) -> int:
+def placed(tokens: list[bytes], lengths: np.ndarray, index: Index, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Each token's place, class and leaf, and what stands before it: classes and own numbers by place."""
+    at, classes = index.look(tokens)
+    own, leaf = tree.places(at, classes)
+    return at, classes, leaf, [*contexts(classes, lengths), *contexts(own, lengths, tree.own)]
+
+
+def train_on(v: Vectors, texts: Iterable[bytes | None], index: Index, tree: Tree, mass: np.ndarray, rng: np.random.Generator) -> int:
     share = mass / mass.sum()
     noise_log, noise_at = np.log(share).astype(np.float32), np.cumsum(share)
     seen = 0
     for tokens, lengths in portions(texts):
-        classes = index.look(tokens)[1]
-        one, two = contexts(classes, lengths)
+        _, classes, leaf, before = placed(tokens, lengths, index, tree)
         seen += len(classes)
         for i in range(0, len(classes), BATCH):
             j = slice(i, i + BATCH)
-            v.train(one[j], two[j], classes[j], noise_log, noise_at, rng)
+            v.train([x[j] for x in before], classes[j], leaf[j], tree, noise_log, noise_at, rng)
     return seen
 
 
@@ -231,7 +377,7 @@ def count_tokens(train: DataFrame, own: Scratch, text: str = "text") -> tuple[Da
     """Counts of all tokens as a table (token, c), and what every worker holds of them."""
     counts = train.select(text).mapInArrow(lambda it: _counted(it, text), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
     counts = own.keep(counts, "counts")
-    # Tokens by the logarithm of their count: the least count with HOT tokens at most.
+    # Tokens by the logarithm of their count: the least count with HOT tokens at most, and OWN at most.
     octave = F.floor(F.log2("c") * 8)
     steps = counts.groupBy(octave.alias("at")).agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("n"), F.min("c").alias("least")).collect()
     least, room = 2**62, HOT
@@ -240,6 +386,7 @@ def count_tokens(train: DataFrame, own: Scratch, text: str = "text") -> tuple[Da
         if room < 0:
             break
         least = s["least"]
+    least = min(least, OWN)
     rows = counts.where(F.col("c") >= least).toArrow()
     found = zip(rows.column("token").to_pylist(), rows.column("c").to_pylist(), strict=True)
     hot = dict(sorted(found, key=lambda x: (-x[1], x[0])))
@@ -259,44 +406,58 @@ def fit_vectors(train: DataFrame, counts: Counts, held: Held, key, text: str = "
     The sample: whole texts of at most 20,000 characters, those with the
     smallest hashes of ``key`` that START_CHARS hold.
     """
-    v = Vectors.fresh(counts.mass)
+    tree = held.tree(counts.mass)
+    v = Vectors.fresh(counts.mass, tree)
     usable = train.where(F.length(text) <= 20_000)
     size = usable.agg(F.sum(F.length(text))).first()[0] or 0
-    if not size:
-        return v.rows
-    share = min(1.0, START_CHARS / size)
+    share = min(1.0, START_CHARS / max(size, 1))
     drawn = usable.where(F.shiftrightunsigned(F.xxhash64(key), 1) / float(2**63) < share).select(F.xxhash64(key).alias("k"), F.col(text).cast("binary").alias("t")).orderBy("k").limit(START_TEXTS)
-    texts = [bytes(r["t"]) for r in sorted(drawn.collect(), key=lambda r: (r["k"], r["t"]))]
+    texts = [bytes(r["t"]) for r in sorted(drawn.collect(), key=lambda r: (r["k"], r["t"]))] if size else []
     rng = np.random.default_rng(11)
     for _ in range(3):
-        train_on(v, texts, held.index(), counts.mass, rng)
-    start, mass = (v.rows, v.sums), counts.mass
+        train_on(v, texts, held.index(), tree, counts.mass, rng)
+    mass = counts.mass
+    start = train.sparkSession.sparkContext.broadcast((v.rows, v.sums, v.own_sums))
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, seen = Vectors(*(x.copy() for x in start)), 0
+        mine, seen = Vectors(*(x.copy() for x in start.value)), 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for b in batches:
-            seen += train_on(mine, texts_of(b.column(0)), held.index(), mass, rng)
+            seen += train_on(mine, texts_of(b.column(0)), held.index(), held.tree(mass), mass, rng)
         if seen:
-            flat = mine.rows.ravel().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], names=["i", "x"])
-
-    sums = train.select(text).coalesce(TRAINERS).mapInArrow(go_on, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    if not sums:
-        return v.rows
-    flat = np.zeros(v.rows.size + 1)
-    for r in sums:
-        flat[r["i"]] = r["x"]
-    return (flat[:-1] / flat[-1]).astype(np.float32).reshape(v.rows.shape)
+            mine.hits[:SHARED] = seen
+            for i in range(0, len(mine.rows), BLOCK):
+                j = slice(i, i + BLOCK)
+                at = np.flatnonzero(mine.hits[j])
+                if len(at):
+                    moved = (mine.rows[j][at] - start.value[0][j][at]).astype(np.float16)
+                    parts = (at.astype(np.uint16), mine.hits[j][at], moved)
+                    yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["block", "at", "hits", "moved"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        total, hits = np.zeros((BLOCK, SIZE + 1)), np.zeros(BLOCK)
+        for at, h, m in zip(*(t.column(c).to_pylist() for c in ("at", "hits", "moved")), strict=True):
+            at, h = np.frombuffer(at, np.uint16), np.frombuffer(h, np.float32).astype(np.float64)
+            total[at] += np.frombuffer(m, np.float16).reshape(-1, SIZE + 1) * h[:, None]
+            hits[at] += h
+        x = (total / np.maximum(hits, 1)[:, None]).astype(np.float32)
+        return pa.table([t.column("block").slice(0, 1), pa.array([x.tobytes()], pa.binary())], names=["block", "x"])
+
+    moved = train.select(text).coalesce(TRAINERS).mapInArrow(go_on, "block int, at binary, hits binary, moved binary").groupBy("block").applyInArrow(mean, "block int, x binary")
+    for r in moved.collect():
+        here = v.rows[r["block"] * BLOCK : (r["block"] + 1) * BLOCK]
+        here += np.frombuffer(r["x"], np.float32).reshape(-1, SIZE + 1)[: len(here)]
+    return v.rows
 
 
 class Held:
     """The frequent tokens and the parameters on each worker, from broadcasts; built once per worker process."""
 
-    def __init__(self, spark, counts: Counts, rows: np.ndarray | None = None):
+    def __init__(self, spark, counts: Counts):
         # Tokens hold no space, so one string and one array carry them all.
         self.hot = spark.sparkContext.broadcast((b" ".join(counts.hot), np.fromiter(counts.hot.values(), np.int64, len(counts.hot))))
-        self.rows = None if rows is None else spark.sparkContext.broadcast(rows)
+        #: The broadcast parameters, once they are fitted.
+        self.rows = None
         self.name = (spark.sparkContext.applicationId, self.hot._jbroadcast.id())
 
     def __getstate__(self):
@@ -305,8 +466,11 @@ class Held:
     def index(self) -> Index:
         return _built(self.name, "index", lambda: Index(dict(zip(self.hot.value[0].split(b" "), self.hot.value[1].tolist(), strict=False))))
 
-    def table(self) -> np.ndarray:
-        return _built(self.name, "table", lambda: Vectors(self.rows.value).log10_table())
+    def tree(self, mass: np.ndarray) -> Tree:
+        return _built(self.name, "tree", lambda: Tree(self.index(), mass))
+
+    def vectors(self) -> Vectors:
+        return Vectors(self.rows.value)
 
 
 _BUILT: dict[str, tuple] = {}
@@ -319,19 +483,19 @@ def _built(name, what, make):
 
 
 def _scored(batches: Iterator[pa.RecordBatch], text: str, held: Held, mass: np.ndarray) -> Iterator[pa.RecordBatch]:
-    index, table, log_mass = held.index(), held.table(), np.log10(mass)
+    index, tree, vectors, log_mass = held.index(), held.tree(mass), held.vectors(), np.log10(mass)
     ids = count(TaskContext.get().partitionId() << 33)
     for b in batches:
         done = 0
         for tokens, lengths in portions(texts_of(b.column(text))):
             rows = b.slice(done, len(lengths))
             done += len(lengths)
-            at, classes = index.look(tokens)
-            one, two = contexts(classes, lengths)
+            at, classes, leaf, before = placed(tokens, lengths, index, tree)
             first = np.cumsum(lengths) - lengths
             known = at >= 0
             hot = np.where(known, index.log10.take(np.maximum(at, 0), mode="clip") if len(index.log10) else 0.0, 0.0)
-            lm = table[(one * (CLASSES + 1) + two) * CLASSES + classes] - log_mass[classes]
+            # Counts come in by the places and the join: all of a single or own token's, a rarer one's share of its leaf.
+            lm = vectors.log10_of(before, classes, leaf, tree) - np.where(classes < SINGLE, log_mass[classes], tree.log10[leaf])
             rare: list[bytes] = []
             tf: list[int] = []
             ends = [0]
@@ -362,8 +526,8 @@ def score_texts(docs: DataFrame, train: DataFrame, key, text: str = "text") -> D
     own = Scratch(spark, "lm")
     train = train.select(F.col(text).alias("_text"), F.xxhash64(key).alias("_key"))
     table, counts = count_tokens(train, own, "_text")
-    rows = fit_vectors(train, counts, Held(spark, counts), F.col("_key"), "_text")
-    held, mass = Held(spark, counts, rows), counts.mass
+    held, mass = Held(spark, counts), counts.mass
+    held.rows = spark.sparkContext.broadcast(fit_vectors(train, counts, held, F.col("_key"), "_text"))
     shield = Shield(docs)
     docs, outer, text = shield.inner, text, shield(text)
     pairs = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("tf", T.LongType())]))

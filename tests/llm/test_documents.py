@@ -281,6 +281,43 @@ def test_lm_learns(spark):
     assert all(r.score > 0.8 * r.base_score for r in got)
 
 
+def test_lm_tells_words_of_one_class_apart(spark):
+    """Two words of one class and one count, swapped: as the next word and as what stands before it."""
+    assert lm.surface(b"xxa") == lm.surface(b"xxb")
+    rng = random.Random(12)
+    filler = [f"f{i}" for i in range(lm.SINGLE)]
+    text = lambda i: " ".join([*rng.choices(filler, k=100), *("left xxa up" if i % 2 else "right xxb down").split()])
+    train = spark.createDataFrame([(i, text(i)) for i in range(400)], "doc_id long, text string")
+    asked = ["left xxa", "left xxb", "right xxb", "right xxa", "xxa up", "xxb up", "xxb down", "xxa down"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    got = {asked[r.doc_id]: r.score for r in lm.score_texts(docs, train, F.col("doc_id")).collect()}
+    for good, bad in (asked[i : i + 2] for i in range(0, len(asked), 2)):
+        assert got[good] > got[bad] + 0.1, (good, bad)
+
+
+def test_lm_trees_add_up():
+    hot = {b"t%d" % i: 1000 for i in range(lm.SINGLE)} | {b"w%d%c" % (i % 40, 97 + i % 26): 900 - i for i in range(500)}
+    index = lm.Index(hot)
+    mass = np.full(lm.CLASSES, 7.5)
+    for i, t in enumerate(hot):
+        mass[i if i < lm.SINGLE else lm.surface(t)] += hot[t] + 0.5
+    tree = lm.Tree(index, mass)
+    v = lm.Vectors.fresh(mass, tree)
+    assert tree.own == len(hot) - lm.SINGLE
+    rng = np.random.default_rng(3)
+    leaf = np.arange(tree.own + lm.SURFACES)
+    of = np.concatenate([index.classes[lm.SINGLE :], lm.SINGLE + np.arange(lm.SURFACES)])
+    here = [np.full(len(leaf), x) for x in (lm.SINGLE, lm.START, 3, tree.own)]
+    # As made, a leaf has its share of the counts; with any vectors all of them add up to one.
+    v.rows[: lm.SHARED, : lm.SIZE] = 0
+    expected = np.log10(mass[of] / mass.sum()) + tree.log10[leaf] - np.log10(mass[of])
+    assert v.log10_of(here, of, leaf, tree) == pytest.approx(expected, abs=1e-3)
+    v.rows[:] = rng.normal(0, 0.5, v.rows.shape)
+    singles = [np.full(lm.SINGLE, x[0]) for x in here]
+    rest = v.log10_of(singles, np.arange(lm.SINGLE), np.full(lm.SINGLE, tree.own + lm.SURFACES), tree)
+    assert (10.0 ** np.concatenate([v.log10_of(here, of, leaf, tree), rest])).sum() == pytest.approx(1, abs=1e-4)
+
+
 # Quality
 
 
