@@ -66,6 +66,11 @@ TOKEN = re.compile(
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORDS = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
+#: Attributes that tell of an element; what stands in others' values does not.
+TELLING = frozenset("class id role hidden aria-hidden style".split())
+#: Attributes of this many characters are read like others but not remembered.
+LONG = 2_000
 
 
 class Block:
@@ -80,6 +85,7 @@ def _told(tag: str, attrs: str) -> tuple[str, ...]:
     """Features that an element gives to the blocks in it."""
     out = {f"in:{tag}"} if tag in TOLD else set()
     if attrs:
+        attrs = " ".join(m[0] for m in ATTRIBUTE.finditer(attrs) if m[1].lower() in TELLING)
         for _, value in NAMED.findall(attrs):
             value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
             out |= {f"kind:{KIND_OF[w]}" for w in WORDS.findall(value) if w in KIND_OF}
@@ -167,7 +173,7 @@ def blocks(page: str) -> list[Block]:
         attrs = m["attrs"] or m["attrs2"] or ""
         if tag in VOID:
             continue
-        told = _told(tag, attrs if len(attrs) < 2_000 else attrs[:2_000])
+        told = _told(tag, attrs) if len(attrs) < LONG else _told.__wrapped__(tag, attrs)
         here = tuple(dict.fromkeys((*here, *told))) if told else here
         stack.append((tag, here))
         links += tag == "a"

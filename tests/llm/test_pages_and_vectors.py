@@ -33,6 +33,15 @@ def test_page(page, text):
     assert htmlmain.main_text(page) == text
 
 
+@pytest.mark.parametrize("size", [10, 1_900, 2_100, 300_000])
+def test_attributes_are_read_whole(size):
+    """Long values before the telling attributes hide none of them, and tell nothing themselves."""
+    long_ = f'data-state="{("class=ad hidden " * size)[:size]}" srcset=\'{"x" * size}\''
+    told = {b.text: b.features for b in htmlmain.blocks(f'<div {long_} class="ad">A</div><div {long_} hidden>B</div><div {long_} id=comments role="note" aria-hidden="true">C</div><div {long_}>D</div>')}
+    short = {b.text: b.features for b in htmlmain.blocks('<div class="ad">A</div><div hidden>B</div><div id=comments role="note" aria-hidden="true">C</div><div>D</div>')}
+    assert told == short and told["A"] != told["D"] != told["B"]
+
+
 def test_viterbi_finds_the_best_path():
     chain = htmlmain.chain()
     page = htmlmain.blocks(htmlmain.labelled_pages(1, seed=3)[0][0])[:9]
