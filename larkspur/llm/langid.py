@@ -29,7 +29,7 @@ from larkspur.llm.runtime import Shield, ship
 
 #: Symbols of labelled text that a language's automaton is built from: the bound of the fitted sample.
 SAMPLE_SYMBOLS = 30_000
-#: Documents drawn per language to fill that bound, and the longest that is drawn.
+#: Documents of a language that are looked at to fill that bound, about a quarter; the longest that isn't put off.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS = 64, 8_000
 #: Languages whose table of counts is broadcast.
 MOST_LANGUAGES = 10_000
@@ -196,27 +196,31 @@ def portions(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
 
 
 def draw_samples(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
-    """For each language, whole documents in the order of ``key``'s hash up to SAMPLE_SYMBOLS characters.
+    """For each language, documents in the order of ``key``'s hash up to SAMPLE_SYMBOLS characters.
 
-    Documents over SAMPLE_DOC_CHARS characters are drawn only for a language
-    that has no shorter ones.  What reaches the driver is at most SAMPLE_DOCS
-    documents of a language.
+    Documents over SAMPLE_DOC_CHARS characters come after all shorter ones, so
+    that they fill what those leave.  Documents are whole, but a language's
+    text ends SAMPLE_DOC_CHARS characters beyond SAMPLE_SYMBOLS at the latest,
+    which only cuts a long document.
     """
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    long_ = (F.length(text) > SAMPLE_DOC_CHARS).alias("_long")
-    rows = usable.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), long_, F.shiftrightunsigned(F.xxhash64(key), 1).alias("_key"))
-    # A threshold on the key leaves about twice what is needed; then the first ones of each language.
-    counts = usable.groupBy(F.col(lang).alias("_lang")).agg(F.sum((F.length(text) <= SAMPLE_DOC_CHARS).cast("long")).alias("_short"), F.count(F.lit(1)).alias("_all"))
-    n = F.when(F.col("_short") > 0, F.col("_short")).otherwise(F.col("_all"))
-    counts = counts.select("_lang", (F.col("_short") == 0).alias("_long"), F.least(F.lit(1.0), 4.0 * SAMPLE_DOCS / n).alias("_share"))
-    if counts.count() <= MOST_LANGUAGES:  # a row each: far below what a broadcast bears
+    most = SAMPLE_SYMBOLS + SAMPLE_DOC_CHARS
+    long_, size = (F.length(text) > SAMPLE_DOC_CHARS).alias("_long"), F.least(F.length(text), F.lit(most))
+    rows = usable.select(F.col(lang).alias("_lang"), F.substring(F.col(text), 1, most).alias("_text"), size.alias("_size"), long_, F.shiftrightunsigned(F.xxhash64(key), 1).alias("_key"))
+    # A threshold on the key leaves some times what is needed of each kind; then the first ones of each language.
+    counts = usable.groupBy(F.col(lang).alias("_lang"), long_).agg(F.count(F.lit(1)).alias("_n"), F.sum(size.cast("long")).alias("_chars"))
+    share = F.greatest(4.0 * SAMPLE_DOCS / F.col("_n"), 4.0 * SAMPLE_SYMBOLS / F.col("_chars"))
+    counts = counts.select("_lang", "_long", F.least(F.lit(1.0), share).alias("_share"))
+    if counts.count() <= 2 * MOST_LANGUAGES:  # two rows each: far below what a broadcast bears
         counts = F.broadcast(counts)
     drawn = rows.join(counts, ["_lang", "_long"]).where(F.col("_key") / float(2**63) < F.col("_share"))
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_text"))
+    order = Window.partitionBy("_lang").orderBy("_long", "_key", "_text")
+    before = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_n", F.row_number().over(order))
     found: dict[str, str] = {}
-    for r in drawn.withColumn("_n", nth).where(F.col("_n") <= SAMPLE_DOCS).orderBy("_lang", "_n").collect():
+    for r in drawn.where(F.col("_before") < SAMPLE_SYMBOLS).orderBy("_lang", "_n").collect():
         if len(found.get(r["_lang"], "")) < SAMPLE_SYMBOLS:
-            found[r["_lang"]] = (found.get(r["_lang"], "") + "\n" + r["_text"])[: SAMPLE_SYMBOLS + SAMPLE_DOC_CHARS]
+            found[r["_lang"]] = (found.get(r["_lang"], "") + "\n" + r["_text"])[:most]
     return tuple(sorted(found.items()))
 
 

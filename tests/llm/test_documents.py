@@ -94,6 +94,18 @@ def test_language_edges(odd, none):
     assert {r.lang_pred for r in langid.identify(odd, ()).collect()} == {"und"}
 
 
+def test_language_samples_are_filled(spark):
+    """A few notes, or many tiny ones, don't keep a language from its 30,000 characters."""
+    rng = random.Random(8)
+    rows = [(1, "short note", "en")] + [(i, prose(rng, 4_000), "en") for i in range(2, 6)]
+    rows += [(i, prose(rng, 10), "fr") for i in range(100, 1_600)] + [(9, "y" * 100_000, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = dict(langid.draw_samples(docs, F.col("doc_id")))
+    most = langid.SAMPLE_SYMBOLS + langid.SAMPLE_DOC_CHARS
+    assert set(got) == {"en", "fr", "de"} and all(langid.SAMPLE_SYMBOLS <= len(t) <= most for t in got.values())
+    assert got["en"].startswith("\nshort note\n")
+
+
 # Near duplicates
 
 
