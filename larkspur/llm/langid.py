@@ -37,7 +37,8 @@ MOST_LANGUAGES = 10_000
 BLOCK = 1_024
 #: Characters parsed at once by a worker.
 AT_ONCE = 1_000_000
-#: Symbols of the alphabet: separator, any other letter, and the most frequent characters of the samples.
+#: Symbols: separator, a letter of no sample, and the samples' characters by frequency.
+#: The first so many have columns in a language's table; transitions by the others are kept sparse.
 ALPHABET = 64
 SEPARATOR, OTHER = 0, 1
 UNDETERMINED = "und"
@@ -45,16 +46,17 @@ UNDETERMINED = "und"
 
 def symbol_table(samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbol by code point, and which symbols are letters."""
-    table = np.full(0x110000, SEPARATOR, np.uint8)
+    seen = Counter()
+    for text in samples.values():
+        seen.update(c for c in text.lower() if unicodedata.category(c)[0] in "LM")
+    n = len(seen) + 2
+    table = np.full(0x110000, SEPARATOR, np.uint16 if n < 1 << 16 else np.uint32)
     for c in range(0x110000):
         if chr(c).isalpha():
             table[c] = OTHER
-    seen = Counter()
-    for text in samples.values():
-        seen.update(c for c in text if unicodedata.category(c)[0] in "LM")
-    letter = np.zeros(ALPHABET, bool)
+    letter = np.zeros(n, bool)
     letter[OTHER] = True
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2], start=2):
+    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])), start=2):
         table[ord(c)], letter[i] = i, c.isalpha()
     return table, letter
 
@@ -71,12 +73,33 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes[keep], kept[ends[1:]] - kept[ends[:-1]]
 
 
-def automaton(text: np.ndarray) -> np.ndarray:
-    """Transitions of the text's suffix automaton, as one table for :func:`phrases`.
+class Automaton:
+    """Transitions of a text's suffix automaton, for :func:`phrases`.
 
-    Entry (state, symbol) is twice the next state's row start, plus one where
+    An entry is twice the next state's row start in ``table``, plus one where
     the state has no such transition, so that a new phrase starts at the symbol.
+    ``keys`` are (row start, symbol) of the transitions by symbols without a
+    column, ``entries`` theirs, ``restart`` the entries of new phrases.
     """
+
+    def __init__(self, table: np.ndarray, rare: dict[tuple[int, int], int], restart: np.ndarray):
+        self.table, self.restart = table, restart
+        self.width = len(restart)
+        keys = np.array([s * ALPHABET * self.width + c for s, c in rare], np.int64)
+        by = np.argsort(keys)
+        # One more that no symbol meets, so that there always is a next one.
+        self.keys = np.append(keys[by], np.iinfo(np.int64).max)
+        self.entries = np.append(np.array([*rare.values()], np.int32)[by], np.int32(0))
+
+    def step(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Entries of symbols without a column; ``at`` are row starts."""
+        key = at.astype(np.int64) * self.width + symbol
+        i = np.searchsorted(self.keys, key)
+        return np.where(self.keys[i] == key, self.entries[i], self.restart[symbol])
+
+
+def automaton(text: np.ndarray, width: int) -> Automaton:
+    """The suffix automaton of a text whose symbols are below ``width``."""
     after: list[dict[int, int]] = [{}]
     longest, link, last = [0], [-1], 0
     for c in text.tolist():
@@ -102,25 +125,43 @@ def automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    restart = np.ones(ALPHABET, np.int32)
+    restart = np.ones(max(width, ALPHABET), np.int32)
     for c, s in after[0].items():
         restart[c] = 2 * s * ALPHABET + 1
-    table = np.tile(restart, (len(after), 1))
+    table = np.tile(restart[:ALPHABET], (len(after), 1))
+    rare: dict[tuple[int, int], int] = {}
     for s, out in enumerate(after):
         for c, t in out.items():
-            table[s, c] = 2 * t * ALPHABET
-    return table.ravel()
+            if c < ALPHABET:
+                table[s, c] = 2 * t * ALPHABET
+            else:
+                rare[s, c] = 2 * t * ALPHABET
+    return Automaton(table.ravel(), rare, restart)
+
+
+def split_rare(lanes: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray] | None]]:
+    """Lanes with OTHER for symbols without a column, and at each step the active lanes that have such symbols and which."""
+    high = lanes >= ALPHABET
+    steps: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(lanes)
+    for i in np.flatnonzero(high.any(axis=1)):
+        where = np.flatnonzero(high[i, : active[i]])
+        if len(where):
+            steps[i] = where, lanes[i, where].astype(np.int64)
+    return np.where(high, lanes.dtype.type(OTHER), lanes), steps
 
 
-def phrases(table: np.ndarray, lanes: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Phrases of each lane; ``lanes`` is (step, lane), ``active`` the number of lanes that go on at each step."""
+def phrases(a: Automaton, lanes: np.ndarray, active: np.ndarray, rare: list[tuple[np.ndarray, np.ndarray] | None]) -> np.ndarray:
+    """Phrases of each lane; ``lanes`` is (step, lane), ``active`` the number of lanes that go on at each step, ``rare`` as of :func:`split_rare`."""
     at = np.zeros(lanes.shape[1], np.int32)
     count = np.ones(lanes.shape[1], np.int32)
-    for row, n in zip(lanes, active, strict=True):
+    for row, n, high in zip(lanes, active, rare, strict=True):
         x = at[:n]
         x >>= 1
+        to = None if high is None else a.step(x[high[0]], high[1])
         x += row[:n]
-        x[:] = table.take(x, mode="clip")
+        x[:] = a.table.take(x, mode="clip")
+        if high is not None:
+            x[high[0]] = to
         count[:n] += x & 1
     return count
 
@@ -134,7 +175,7 @@ class Languages:
         fitted = {lang: symbols([t], self.table)[0] for lang, t in texts.items()}
         fitted = {lang: s for lang, s in fitted.items() if self.letter[s].any()}
         self.names = sorted(fitted)
-        self.tables = [automaton(fitted[lang]) for lang in self.names]
+        self.tables = [automaton(fitted[lang], len(self.letter)) for lang in self.names]
         self.bits = np.array([math.log2(len(fitted[lang]) + 1) for lang in self.names])
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,11 +191,12 @@ class Languages:
         size, begin, text_of = size[order], begin[order], text_of[order]
         steps = int(size[0]) if len(size) else 0
         active = np.searchsorted(-size, -np.arange(steps), side="left")
-        padded = np.concatenate([codes, np.zeros(BLOCK, np.uint8)])
-        lanes = padded[begin[None, :] + np.arange(steps)[:, None]] if steps else np.zeros((0, 0), np.uint8)
+        padded = np.concatenate([codes, np.zeros(BLOCK, codes.dtype)])
+        lanes = padded[begin[None, :] + np.arange(steps)[:, None]] if steps else np.zeros((0, 0), codes.dtype)
+        lanes, rare = split_rare(lanes, active)
         out = np.zeros((len(texts), len(self.names)))
         for k, t in enumerate(self.tables):
-            np.add.at(out[:, k], text_of, phrases(t, lanes, active) if steps else 0)
+            np.add.at(out[:, k], text_of, phrases(t, lanes, active, rare) if steps else 0)
         has_letter = np.zeros(len(texts), bool)
         if len(codes):
             where = np.repeat(np.arange(len(texts)), lengths)[self.letter[codes]]

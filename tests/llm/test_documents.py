@@ -80,6 +80,24 @@ def test_phrases_match_definition():
             assert h[i, k] == pytest.approx(want)
 
 
+def test_phrases_of_many_letters():
+    """Every character of the samples is a symbol of its own, however many there are."""
+    rng = random.Random(15)
+    sign = lambda low, n: "".join(chr(low + rng.randrange(3_000)) if rng.random() < 0.9 else " " for _ in range(n))
+    samples = (("a", sign(0x4E00, 3_000) + "K"), ("b", sign(0x5400, 3_000)), ("c", prose(rng, 200)))
+    model = langid.Languages(samples)
+    letters = {c for _, t in samples for c in t.lower() if c.isalpha()}
+    assert len({int(model.table[ord(c)]) for c in letters}) == len(letters) and model.table[ord("я")] == langid.OTHER
+    texts = [samples[0][1][500:700], sign(0x5000, 2_500), samples[1][1][40:90] + samples[2][1][:90] + "я", "kK"]
+    h, _ = model.entropies(texts)
+    of = lambda s: "".join(map(chr, langid.symbols([s], model.table)[0]))
+    for i, t in enumerate(texts):
+        s = of(t)
+        parts = [s[k : k + langid.BLOCK] for k in range(0, len(s), langid.BLOCK)]
+        for k, (_, train) in enumerate(samples):
+            assert h[i, k] == pytest.approx(sum(phrases_by_hand(of(train), p) for p in parts) * model.bits[k] / len(s))
+
+
 def test_language_edges(odd, none):
     samples = langid.draw_samples(odd, F.col("doc_id"))
     out = langid.identify(odd, samples)
