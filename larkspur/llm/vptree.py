@@ -115,20 +115,37 @@ class Tree:
 def search_shard(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, largest: float, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, inner product) of the k best of each query among ``x``, ties to the smaller id.
 
-    Equal vectors are one row of the tree with their k + 1 smallest ids, so
-    copies neither deepen it nor crowd each other out.
+    Equal vectors are one row of the tree with their smallest ids, so copies
+    neither deepen it nor crowd each other out.  Each id counts k times at most,
+    and of those 2 k are kept, so that k are left without the query's own.
+    Queries whose k-th row the tree doesn't tell from what it left out are
+    compared with all rows.
     """
     by = np.lexsort((ids, *x.T[::-1]))
     x, ids = x[by], ids[by]
-    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)])
-    size = np.minimum(np.diff(np.r_[first, len(x)]), k + 1)
+    new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
+    run = np.flatnonzero(new | np.r_[True, ids[1:] != ids[:-1]])
+    kept = np.arange(len(ids)) - np.repeat(run, np.diff(np.r_[run, len(ids)])) < k
+    x, ids, group = x[kept], ids[kept], np.cumsum(new)[kept]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.minimum(np.diff(np.r_[first, len(x)]), 2 * k)
     u = x[first]
     lifted = np.column_stack([u, np.sqrt(np.maximum(largest**2 - (u * u).sum(axis=1), 0))])
     aim = np.column_stack([q * (largest / np.sqrt((q * q).sum(axis=1)))[:, None], np.zeros(len(q))])
     # Some more than k: distances round otherwise than inner products, and the query's own row goes.
     row = Tree(lifted).search(aim, k + 8, factor)
     who, at = np.nonzero(row >= 0)
-    hit = row[who, at]
+    score = np.full(row.shape, -np.inf)
+    score[who, at] = dot(q[who], u[row[who, at]])
+    # The tree compares squared distances, which round by so much of largest**2; scores are that over 2 largest / |q|.
+    ranked = -np.sort(-score, axis=1)
+    slack = 16 * (x.shape[1] + 4) * np.finfo(float).eps * largest * np.sqrt((q * q).sum(axis=1))
+    open_ = np.flatnonzero((row >= 0).all(axis=1) & (len(u) > row.shape[1]) & ~(ranked[:, -1] < ranked[:, k] - slack))
+    told = ~np.isin(who, open_)
+    who, hit = who[told], row[who[told], at[told]]
+    if len(open_):
+        more, there = scan_all(u, ids, first, q[open_], q_ids[open_], k)
+        who, hit = np.r_[who, open_[more]], np.r_[hit, there]
     score = dot(q[who], u[hit])
     copies = size[hit]
     nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
@@ -141,6 +158,33 @@ def search_shard(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
     return who[place < k], found[place < k], score[place < k]
 
 
+def scan_all(u: np.ndarray, ids: np.ndarray, first: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, row of ``u``) of the k best rows of each query by inner product, ties to the row of the smallest id besides the query's own."""
+    least = ids[first]
+    # The next id of each row: where the query's own is the least.  None: the row is no other's.
+    ends = np.r_[first[1:], len(ids)]
+    other = np.flatnonzero(ids != np.repeat(least, ends - first))
+    at = np.searchsorted(other, first)
+    has = (at < len(other)) & (np.append(other, len(ids))[at] < ends)
+    after = np.where(has, ids[np.append(other, 0)[at]], 0)
+    who, hit = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, 2_000_000 // len(u))
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
+        s = np.zeros((len(part), len(u)))
+        for j in range(u.shape[1]):
+            s += part[:, j, None] * u[None, :, j]
+        for n, mine in enumerate(s):
+            own = least == q_ids[i + n]
+            mine[own & ~has] = -np.inf
+            kth = np.partition(mine, len(u) - k)[len(u) - k] if len(u) > k else -np.inf
+            near = np.flatnonzero((mine >= kth) & (mine > -np.inf))
+            near = near[np.lexsort((np.where(own, after, least)[near], -mine[near]))][:k]
+            who.append(np.full(len(near), i + n))
+            hit.append(near)
+    return np.concatenate(who), np.concatenate(hit)
+
+
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products, added up from the first component to the last."""
     s = np.zeros(len(a))

@@ -92,6 +92,26 @@ def test_exact_search(vectors, spark):
     assert vptree.nearest(vectors.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["binary", "one huge", "floats", "repeated ids"])
+def test_ties_and_repeated_ids(kind):
+    """Any number of distinct vectors that tie, distances that cancel, ids that recur: as sorting all pairs has it."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(1_500, 12)) if kind != "binary" else (rng.random((1_500, 12)) < 0.5).astype(float)
+    x[~x.any(axis=1)] = 1
+    ids = rng.permutation(1_500)
+    if kind == "one huge":
+        x[7] *= 1e9
+    if kind == "repeated ids":
+        x[:40], ids[:30] = x[0], 3
+        ids[100:130] = 3
+    q, q_ids, k = x[:60].copy(), ids[:60].copy(), 5
+    who, found, score = vptree.search_shard(x, ids, q, q_ids, k, float(np.sqrt((x * x).sum(axis=1)).max()), 1.0)
+    for i in range(len(q)):
+        s = vptree.dot(np.broadcast_to(q[i], x.shape), x)
+        want = sorted((-a, b) for a, b in zip(s.tolist(), ids.tolist(), strict=True) if b != q_ids[i])[:k]
+        assert [(-a, b) for a, b in zip(score[who == i].tolist(), found[who == i].tolist(), strict=True)] == want, i
+
+
 def test_relaxed_search_keeps_most():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(20, 12))[rng.integers(0, 20, 3000)] + 0.2 * rng.normal(size=(3000, 12))
