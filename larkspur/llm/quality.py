@@ -8,7 +8,7 @@ on labelled documents held back from both, and the calibrated log odds are added
 up, less the prior that both contain, to score every document.
 
 Only the fit uses a sample: at most about LABELLED labelled and POOL unlabelled
-documents, drawn by a hash of the id, of which the driver sees feature vectors.
+documents, those without any label, drawn by a hash of the id, of which the driver sees feature vectors.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     docs = docs.select(doc_id, text, source, lang, n_chars)
     labels = labels.select(doc_id, label)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg((F.avg(label) > 0.5).cast("double").alias("_y"))
-    n, total = known.count(), docs.count()
+    n = known.count()
     key = F.shiftrightunsigned(F.xxhash64(doc_id), 1) / float(2**63)
     names = [text, source, lang, n_chars]
 
@@ -170,8 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     drawn = F.broadcast(known.where(key < LABELLED / max(n, 1)))  # LABELLED rows, about
     labelled, y = gathered(docs.join(drawn, doc_id))
-    spare = key * max(total, 1)
-    pool, _ = gathered(docs.where(F.col(doc_id).isNotNull() & (spare >= total - POOL)).withColumn("_y", F.lit(None).cast("double")))
+    # Ids alone are compared with all labelled ones; texts are read for those drawn.
+    spare = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count(F.lit(1)).alias("_c")).join(known, doc_id, "left_anti")
+    total = spare.agg(F.sum("_c")).first()[0] or 0
+    drawn = F.broadcast(spare.where(key < POOL / max(total, 1)).select(doc_id))  # POOL rows, about
+    pool, _ = gathered(docs.join(drawn, doc_id).withColumn("_y", F.lit(None).cast("double")))
     return co_train(labelled, y, pool)
 
 

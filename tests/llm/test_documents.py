@@ -370,6 +370,16 @@ def test_quality(odd, none, spark):
 # Decontamination
 
 
+def test_quality_pool_holds_no_labelled_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 90, f"text {i % 90}", "en", "s", 9) for i in range(180)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(70, None)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda views, y, pool: seen.append((len(y), len(pool[0]), len(pool[1]))))
+    quality.fit(docs, labels)
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int"))
+    assert seen == [(120, 60, 60), (180, 0, 0)]
+
+
 def test_decontamination(odd, none, spark):
     rng = random.Random(10)
     items = [(i, prose(rng, 12 + 3 * i, [f"b{k}" for k in range(300)])) for i in range(8)] + [(50, "three short words"), (51, None), (52, ""), (None, prose(rng, 20, [f"c{k}" for k in range(99)])), (0, None)]
