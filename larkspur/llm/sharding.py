@@ -28,8 +28,6 @@ from larkspur.llm.runtime import Scratch, Shield, ship, shuffle_partitions
 BITS = 4
 #: Accuracy of the quantiles that bound the levels: ranks are off by at most one row in this many.
 ACCURACY = 10_000
-#: Characters of a string, after the prefix that all values share, that its order is judged by.
-STRING_KEY = 6
 
 
 def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -61,29 +59,33 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _order_key(df: DataFrame, column: str) -> Column:
-    """A number in the column's order, null for null.  Strings: their first bytes after what all values share."""
-    kind = dict(df.dtypes)[column]
-    if kind != "string":
-        return F.col(f"`{column}`").cast("double")
-    low, high = df.agg(F.min(f"`{column}`"), F.max(f"`{column}`")).first()
-    shared = 0
-    if low is not None:
-        while shared < min(len(low), len(high)) and low[shared] == high[shared]:
-            shared += 1
-    tail = F.rpad(F.hex(F.substring(F.encode(F.substring(F.col(f"`{column}`"), shared + 1, STRING_KEY), "utf-8"), 1, STRING_KEY)), 2 * STRING_KEY, "0")
-    return F.conv(tail, 16, 10).cast("double")
+def _string_cuts(df: DataFrame, column: str, share: Sequence[float]) -> list[str]:
+    """The least values up to which these shares of the rows lie, in the order of whole values; nulls don't count."""
+    values = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = Scratch(df.sparkSession, "sharding").keep(values.repartitionByRange("v").withColumn("p", F.spark_partition_id()), "values")
+    total, before = 0, {}
+    for r in values.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
+        before[r["p"]] = total
+        total += r["n"]
+    if not total:
+        return []
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("p")]
+    upto = values.withColumn("to", F.sum("n").over(Window.partitionBy("p").orderBy("v")) + offset)
+    crossed = F.exists(F.array(*[F.lit(x * total) for x in share]), lambda x: (x > F.col("to") - F.col("n")) & (x <= F.col("to")))
+    return [r["v"] for r in upto.where(crossed).select("v").collect()]
 
 
 def levels(df: DataFrame, dimensions: Sequence[str], bits: int = BITS) -> list[Column]:
     """Quantised level of each dimension, null at 0: how many of the column's quantiles lie below the value."""
-    keys = [_order_key(df, c) for c in dimensions]
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(k, share, ACCURACY).alias(str(i)) for i, k in enumerate(keys)]).first()
+    kinds = dict(df.dtypes)
+    keys = [F.col(f"`{c}`") if kinds[c] == "string" else F.col(f"`{c}`").cast("double") for c in dimensions]
+    numbers = {i: k for i, k in enumerate(keys) if kinds[dimensions[i]] != "string"}
+    cuts = df.agg(F.lit(0), *[F.percentile_approx(k, share, ACCURACY).alias(str(i)) for i, k in numbers.items()]).first()
     out = []
     for i, k in enumerate(keys):
-        bounds = sorted(set(cuts[i] or []))
-        level = sum((F.when(k >= F.lit(float(b)), 1).otherwise(0) for b in bounds), F.lit(0))
+        bounds = sorted({float(b) for b in cuts[str(i)] or []}) if i in numbers else _string_cuts(df, dimensions[i], share)
+        level = sum((F.when(k >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
         out.append(F.when(k.isNull(), 0).otherwise(level).cast("int"))
     return out
 

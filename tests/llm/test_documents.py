@@ -234,6 +234,14 @@ def test_sharding_edges(odd, none):
     assert sharding.shard_rows(none, ["lang", "source", "n_chars"], tie, 7).count() == 0
 
 
+def test_string_levels_follow_whole_values(spark):
+    names = ["arxiv", *(f"crawl-2023-{c}" for c in "abcdefgh")]
+    rows = spark.createDataFrame([(n,) for n in names for _ in range(50)] + [(None,)], "source string")
+    got = rows.select("source", sharding.levels(rows, ["source"])[0].alias("level")).distinct().collect()
+    level = {r.source: r.level for r in got}
+    assert len(got) == 10 and level[None] == 0 and len({level[n] for n in names}) == 9 and [level[n] for n in names] == sorted(level[n] for n in names)
+
+
 # Mixing
 
 
