@@ -1,27 +1,28 @@
 """Scoring texts by a log-bilinear neural language model.
 
-The model predicts the next token from the two before it.  A context's vector
-is the sum of two vectors for each place: the token's class's and the token's
-own.  A class's score is the product of that with the class's vector plus a
-bias.  The most frequent tokens are classes of their own; all others share
-SURFACES classes by their first and last letters, so that unseen tokens have a
-class as well.  In a class a binary tree leads to each token, a node's vector
-and the context's giving the chance of either side.  Every token counted OWN
-times or more has its own leaf and context vectors, however many these are.
-Rarer and unknown ones share a leaf of their class and, as context, the
-class's vector; in that leaf a token's probability comes from its count over
-the whole corpus, with half a count added to each known token and for all
-unknown ones.  So the probabilities of all tokens, known or not, add up to one.
-
-The vectors are trained in numpy over all training texts, those of classes by
-noise-contrastive estimation, those of trees by exact likelihood: a start on a
-bounded sample, then every partition goes on by itself over its own texts and
-the results are averaged, a class's by tokens seen, a token's and a node's by
-the steps that changed them.  Scores are normalised by batched matrix products
-over the classes and by the tree's chances.
-
-Counts are distributed: the tokens with vectors, and up to HOT frequent ones,
-are broadcast, the rest is joined by key.
+The model predicts the next token from the two before it, in two steps.  A
+context's vector is the sum of one for the class of each of the two tokens and
+of the previous token's own; its product with a class's vector, plus a bias, is
+that class's score.  Inside a class the previous token's class has another
+vector, and its product with a token's vector, plus a bias, is that token's
+score.  The SINGLE most frequent tokens are classes of their own; all others
+share SURFACES classes by their first and last letters, so that unseen tokens
+have a class as well.  The next VOCABULARY tokens that are counted OWN times or
+more have vectors of their own as context and as target; the rest of a class is
+one target, in which a token's probability comes from its count over the whole
+corpus, with half a count added to each known token and for all unknown ones.
+Both steps are normalised by batched matrix products, so the probabilities of
+all tokens, known or not, add up to one.
+
+All training texts are counted: classes in threes, own tokens with the class
+that follows, classes with the token that follows.  These counts are sums of
+whole numbers, the same however the texts are dealt out, and their number is
+bounded by the model's size.  The vectors are trained on them in numpy by
+noise-contrastive estimation with NOISE noise tokens to each true one, taken in
+expectation, since every outcome of a count's context is at hand.
+
+Token counts are distributed: the HOT most frequent ones are broadcast, the rest
+is joined by key.
 """
 
 from __future__ import annotations
@@ -44,30 +45,27 @@ from larkspur.llm.runtime import Scratch, Shield, lowered_words, ship
 #: Stands for the end of a text; no word holds it.
 END = b"\n"
 #: Frequent tokens with a class of their own, END among them.
-SINGLE = 159
-PREFIXES, SUFFIXES = 24, 4
+SINGLE = 127
+PREFIXES, SUFFIXES = 16, 4
 SURFACES = PREFIXES * SUFFIXES
 CLASSES = SINGLE + SURFACES
 #: Context class before the first token.
 START = CLASSES
-SIZE = 16
-#: A token counted as often as this has vectors of its own.
-OWN = 100
-#: Frequent tokens whose counts every worker holds; more if more have vectors.
-HOT = 200_000
-#: Characters of the sample on which the vectors start.
-START_CHARS = 1_500_000
-#: Texts of that sample at most, however many share a key.
-START_TEXTS = 4_000
-NOISE = 48
-BATCH = 1_024
-RATE = 0.1
-#: Partitions that train side by side at most.
-TRAINERS = 1_024
+CONTEXTS = CLASSES + 1
+SIZE = 24
+#: Tokens with vectors of their own besides the single ones, and the count that they need.
+VOCABULARY, OWN = 20_000, 100
+#: Frequent tokens whose counts every worker holds, and their length at most.
+HOT, HOT_BYTES = 200_000, 64
+NOISE = 48.0
+#: Passes over the counts; step size; pull of own vectors towards zero, in tokens.
+PASSES, RATE, PULL = 40, 0.1, 3.0
+#: Context classes trained in one step.
+STEP = 8
 #: Tokens handled at once by a worker; distinct tokens counted before they are passed on.
 AT_ONCE, COUNTED = 150_000, 200_000
-#: Rows of parameters that are averaged together.
-BLOCK = 4_096
+#: Contexts normalised at once.
+BATCH = 2_048
 
 
 def surface(token: bytes) -> int:
@@ -84,8 +82,15 @@ class Counts:
     n: int
     types: int
     hot: dict[bytes, int]
+    #: Least count of the frequent tokens.
+    least: int
     mass: np.ndarray
 
+    @property
+    def own(self) -> int:
+        """Tokens with vectors besides the single ones."""
+        return min(VOCABULARY, max(0, sum(c >= OWN for c in self.hot.values()) - SINGLE))
+
     def base_log10(self) -> float:
         return float(np.log10(self.n + 0.5 * (self.types + 1)))
 
@@ -93,88 +98,33 @@ class Counts:
 class Index(dict):
     """Token to place in the frequent list, or -1 less its class; remembers a bounded number of others."""
 
-    def __init__(self, hot: dict[bytes, int]):
+    def __init__(self, hot: dict[bytes, int], mass: np.ndarray, own: int):
         super().__init__((t, i) for i, t in enumerate(hot))
         c = np.fromiter(hot.values(), np.float64, len(hot))
         self.log10 = np.log10(c + 0.5)
         self.classes = np.fromiter((i if i < SINGLE else surface(t) for i, t in enumerate(hot)), np.int64, len(hot))
         self.room = len(hot) + 100_000
         #: Tokens with vectors besides the single ones: places SINGLE and on.
-        self.own = max(0, int((c >= OWN).sum()) - SINGLE)
+        self.own = own
+        #: Targets inside classes: the own tokens, then the rest of each class.
+        self.leaves = self.own + SURFACES
+        self.class_of = np.concatenate([self.classes[SINGLE : SINGLE + self.own], SINGLE + np.arange(SURFACES)])
+        kept = c[SINGLE : SINGLE + self.own] + 0.5
+        rest = np.maximum(mass[SINGLE:] - np.bincount(self.class_of[: self.own] - SINGLE, kept, SURFACES), 0.5)
+        self.mass = np.concatenate([kept, rest])
 
     def __missing__(self, token: bytes) -> int:
         found = -1 - surface(token)
-        if len(self) < self.room and len(token) <= 64:
+        if len(self) < self.room and len(token) <= HOT_BYTES:
             self[token] = found
         return found
 
-    def look(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and classes."""
+    def look(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, classes, and targets inside the class (of single tokens: 0, which is not to be used)."""
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return at, np.where(at >= 0, self.classes.take(np.maximum(at, 0), mode="clip") if len(self.classes) else 0, -1 - at)
-
-
-class Tree:
-    """Huffman trees of the classes: which nodes lead to a leaf, and which side of them.
-
-    Leaves: the ``own`` tokens, then each surface class's leaf of all others,
-    then one without nodes, for single tokens.
-    """
-
-    def __init__(self, index: Index, mass: np.ndarray):
-        own = self.own = index.own
-        kept = 10.0 ** index.log10[SINGLE : SINGLE + own]
-        of = index.classes[SINGLE : SINGLE + own] - SINGLE
-        rest = np.maximum(mass[SINGLE:] - np.bincount(of, kept, SURFACES), 0.5)
-        self.log10 = np.log10(np.concatenate([kept, rest, [1.0]]))
-        weight = np.round(np.concatenate([kept, rest]) * 2).tolist()  # counts and halves: whole numbers
-        leaves = own + SURFACES
-        parent, side = np.full(leaves + own, -1), np.zeros(leaves + own, np.float32)
-        self.bias = np.zeros(own, np.float32)
-        made = leaves
-        for c in range(SURFACES):
-            # Both queues ascend: leaves by weight, and nodes as they are made.
-            queue = [*np.flatnonzero(of == c)[::-1].tolist()]
-            queue.insert(int(np.searchsorted([weight[i] for i in queue], weight[own + c])), own + c)
-            i, n = 0, made
-            for _ in range(len(queue) - 1):
-                pair = []
-                for _ in (0, 1):
-                    if i < len(queue) and (n == made or weight[queue[i]] <= weight[n]):
-                        pair.append(queue[i])
-                        i += 1
-                    else:
-                        pair.append(n)
-                        n += 1
-                parent[pair], side[pair[1]] = made, 1
-                self.bias[made - leaves] = np.log(weight[pair[1]] / weight[pair[0]])
-                weight.append(weight[pair[0]] + weight[pair[1]])
-                made += 1
-        at, leaf, found = np.arange(leaves), np.arange(leaves), []
-        while len(at):
-            on = parent[at] >= 0
-            at, leaf = at[on], leaf[on]
-            found.append((leaf, parent[at] - leaves, side[at]))
-            at = parent[at]
-        leaf, node, side = (np.concatenate(x) for x in zip(*found, strict=True))
-        by = np.argsort(leaf, kind="stable")
-        self.nodes, self.sides = node[by].astype(np.int32), side[by]
-        self.length = np.bincount(leaf, minlength=leaves + 1)
-        self.first = np.cumsum(self.length) - self.length
-
-    def places(self, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Own number (``own``: none) and leaf of each token."""
-        has = (at >= SINGLE) & (at < SINGLE + self.own)
-        return np.where(has, at - SINGLE, self.own), np.where(has, at - SINGLE, self.own + np.where(classes < SINGLE, SURFACES, classes - SINGLE))
-
-    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes and sides on the way to each leaf, whose way it is; which leaves have one and where it begins."""
-        n = self.length[leaf]
-        who = np.repeat(np.arange(len(leaf)), n)
-        begin = np.cumsum(n) - n
-        at = np.arange(len(who)) + (self.first[leaf] - begin)[who]
-        has = np.flatnonzero(n)
-        return self.nodes[at], self.sides[at], who, has, begin[has]
+        classes = np.where(at >= 0, self.classes.take(np.maximum(at, 0), mode="clip") if len(self.classes) else 0, -1 - at)
+        own = (at >= SINGLE) & (at < SINGLE + self.own)
+        return at, classes, np.where(own, at - SINGLE, np.maximum(self.own + classes - SINGLE, 0))
 
 
 def texts_of(column: pa.Array) -> Iterator[bytes | None]:
@@ -199,153 +149,165 @@ def portions(texts: Iterable[bytes | None]) -> Iterator[tuple[list[bytes], np.nd
         yield tokens, np.array(lengths)
 
 
-def contexts(classes: np.ndarray, lengths: np.ndarray, start: int = START) -> tuple[np.ndarray, np.ndarray]:
-    """Classes (or other numbers) one and two places before each token of the same text."""
+def before(x: np.ndarray, lengths: np.ndarray, places: int, none: int) -> np.ndarray:
+    """What stands one or two places before each token of the same text."""
+    out = np.empty_like(x)
+    out[places:] = x[:-places]
     first = np.cumsum(lengths) - lengths
-    one, two = np.empty_like(classes), np.empty_like(classes)
-    one[1:], two[2:] = classes[:-1], classes[:-2]
-    one[first] = two[first] = start
-    second = first + 1
-    two[second[second < len(two)]] = start
-    return one, two
+    out[first] = none
+    if places == 2:
+        second = first + 1
+        out[second[second < len(out)]] = none
+    return out
+
+
+class Statistics:
+    """Counts that the vectors are trained on, as one flat array; ``one`` and ``two`` are the classes one and two places before."""
+
+    def __init__(self, index: Index, flat: np.ndarray | None = None):
+        sizes = CONTEXTS * CONTEXTS * CLASSES, index.own * CLASSES, CONTEXTS * index.leaves
+        self.flat = np.zeros(sum(sizes), np.int32) if flat is None else flat
+        a, b, c = np.split(self.flat, np.cumsum(sizes)[:-1])
+        #: Class after two classes; class after an own token; target inside its class after a class.
+        self.thrice, self.after, self.inner = a.reshape(CONTEXTS, CONTEXTS, CLASSES), b.reshape(-1, CLASSES), c.reshape(CONTEXTS, -1)
+
+    def add(self, classes: np.ndarray, leaf: np.ndarray, lengths: np.ndarray, index: Index) -> None:
+        one, two = before(classes, lengths, 1, START), before(classes, lengths, 2, START)
+        np.add.at(self.thrice.reshape(-1), (two * CONTEXTS + one) * CLASSES + classes, 1)
+        inside = np.flatnonzero(classes >= SINGLE)
+        np.add.at(self.inner.reshape(-1), one[inside] * index.leaves + leaf[inside], 1)
+        if index.own:
+            own = before(np.where((classes >= SINGLE) & (leaf < index.own), leaf, -1), lengths, 1, -1)
+            has = np.flatnonzero(own >= 0)
+            np.add.at(self.after.reshape(-1), own[has] * CLASSES + classes[has], 1)
 
 
-#: Rows of the classes' parameters.
-SHARED = 2 * (CLASSES + 1) + CLASSES
+def _pull_of(n: np.ndarray, score: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Gradient by score of the expected noise-contrastive objective; ``n`` are counts, ``noise`` the noise tokens to each true one."""
+    total = n.sum(axis=-1, keepdims=True)
+    with np.errstate(over="ignore"):
+        return n - (n + total * noise) / (1 + np.exp(np.log(noise) - score))
+
+
+class Steps:
+    """Steps of a size that falls with the squares of the gradients met."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.sums = x, np.full(x.shape, 1e-20, np.float32)
+
+    def up(self, g: np.ndarray, at=slice(None)) -> None:
+        self.sums[at] += g * g
+        self.x[at] += RATE * g / np.sqrt(self.sums[at])
 
 
 class Vectors:
-    """Parameters in one matrix of rows: context vectors by place, class vectors with biases; then the tokens' own context vectors by place (the last one for tokens without) and the tree nodes with biases."""
-
-    def __init__(self, rows: np.ndarray, sums: np.ndarray | None = None, own_sums: np.ndarray | None = None):
-        self.rows = rows
-        self.sums = np.full((SHARED, SIZE + 1), 1e-4, np.float32) if sums is None else sums
-        #: Of tokens and nodes: a row's mean square, and the steps that changed it.
-        self.own_sums = np.full(len(rows) - SHARED, 1e-4, np.float32) if own_sums is None else own_sums
-        self.hits = np.zeros(len(rows), np.float32)
-        k, own = CLASSES + 1, (len(rows) - SHARED - 2) // 3
-        self.own = own
-        self.one, self.two, self.out = rows[:k, :SIZE], rows[k : 2 * k, :SIZE], rows[2 * k : SHARED, :SIZE]
-        self.bias = rows[2 * k : SHARED, SIZE]
-        self.at_one, self.at_two, self.at_node = SHARED, SHARED + own + 1, SHARED + 2 * (own + 1)
+    """Parameters: vectors of context classes by place, of own tokens as context, of classes with biases; and inside classes of context classes and of targets with biases."""
 
-    @staticmethod
-    def fresh(mass: np.ndarray, tree: Tree | None = None) -> Vectors:
-        """Random class vectors; tokens and nodes start as counts alone have it."""
+    def __init__(self, index: Index, mass: np.ndarray):
         rng = np.random.default_rng(7)
-        own = tree.own if tree else 0
-        rows = np.zeros((SHARED + 3 * own + 2, SIZE + 1), np.float32)
-        rows[:SHARED, :SIZE] = rng.normal(0, 0.1, (SHARED, SIZE))
-        v = Vectors(rows)
-        v.bias[:] = np.log(mass / mass.sum())
-        if own:
-            rows[v.at_node :, SIZE] = tree.bias
-        return v
-
-    def context(self, one: np.ndarray, two: np.ndarray, own_one: np.ndarray, own_two: np.ndarray) -> np.ndarray:
-        r = self.one[one] + self.two[two]
-        if self.own:
-            r += self.rows[self.at_one + own_one, :SIZE]
-            r += self.rows[self.at_two + own_two, :SIZE]
-        return r
-
-    def train(self, before: list[np.ndarray], target: np.ndarray, leaf: np.ndarray, tree: Tree, noise_log: np.ndarray, noise_at: np.ndarray, rng: np.random.Generator) -> None:
-        """One step: tell each target class from NOISE draws of the classes' own shares, and raise the likelihood of the way to its leaf."""
-        one, two, own_one, own_two = before
-        r = self.context(*before)
-        q = self.out[target]
-        drawn = np.searchsorted(noise_at, rng.random(NOISE)).clip(0, CLASSES - 1)
-        shift = noise_log + np.float32(np.log(NOISE))
-        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, q) + self.bias[target] - shift[target]))
-        qn = self.out[drawn]
-        down = -1 / (1 + np.exp(-(r @ qn.T + self.bias[drawn] - shift[drawn])))
-        grad = np.zeros((SHARED, SIZE + 1), np.float32)
-        k = CLASSES + 1
-        gr = up[:, None] * q + down @ qn
-        steps = []
-        if self.own:
-            node, side, who, has, begin = tree.paths(leaf)
-            if len(node):
-                w, rw = self.rows[self.at_node + node], r[who]
-                g = side - 1 / (1 + np.exp(-np.einsum("ij,ij->i", w[:, :SIZE], rw) - w[:, SIZE]))
-                gr[has] += np.add.reduceat(g[:, None] * w[:, :SIZE], begin, axis=0)
-                steps.append((self.at_node + node, np.column_stack([g[:, None] * rw, g])))
-            for base, at in ((self.at_one, own_one), (self.at_two, own_two)):
-                mine = np.flatnonzero(at < self.own)
-                if len(mine):
-                    steps.append((base + at[mine], gr[mine]))
-        for base, at, g in ((0, one, gr), (k, two, gr), (2 * k, target, np.column_stack([up[:, None] * r, up]))):
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            grad[base + at[order][first], : g.shape[1]] += np.add.reduceat(g[order], first, axis=0)
-        np.add.at(grad[2 * k :, :SIZE], drawn, down.T @ r)
-        np.add.at(grad[2 * k :, SIZE], drawn, down.sum(axis=0))
-        self.sums += grad * grad
-        self.rows[:SHARED] += RATE * grad / np.sqrt(self.sums)
-        for at, g in steps:
-            self._step(at, g)
-
-    def _step(self, at: np.ndarray, g: np.ndarray) -> None:
-        """A step of the rows ``at`` (repeated) of tokens or nodes alone."""
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        row, s = at[first], np.add.reduceat(g[order], first, axis=0)
-        self.own_sums[row - SHARED] += np.einsum("ij,ij->i", s, s) / s.shape[1]
-        self.rows[row, : s.shape[1]] += s * (RATE / np.sqrt(self.own_sums[row - SHARED]))[:, None]
-        self.hits[row] += 1
-
-    def log10_of(self, before: list[np.ndarray], target: np.ndarray, leaf: np.ndarray, tree: Tree) -> np.ndarray:
-        """log10 P(class | context) P(leaf | class, context)."""
+        made = lambda n: rng.normal(0, 0.1, (n, SIZE)).astype(np.float32)
+        self.one, self.two, self.out = made(CONTEXTS), made(CONTEXTS), made(CLASSES)
+        self.bias = np.log(mass / mass.sum()).astype(np.float32)
+        self.own = np.zeros((index.own + 1, SIZE), np.float32)
+        self.near, self.leaf = made(CONTEXTS), made(index.leaves)
+        self.leaf_bias = np.log(index.mass / mass[index.class_of]).astype(np.float32)
+
+    def train(self, counted: Statistics, index: Index) -> None:
+        n = max(1.0, float(counted.thrice.sum(dtype=np.float64)))
+        self._train_classes(counted.thrice, n)
+        self._train_own(counted, index)
+        self._train_inner(counted.inner, index, n)
+
+    def _train_classes(self, thrice: np.ndarray, n: float) -> None:
+        noise = NOISE * np.exp(self.bias)
+        steps = [Steps(x) for x in (self.one, self.two, self.out, self.bias)]
+        rng = np.random.default_rng(11)
+        for _ in range(PASSES):
+            order = rng.permutation(CONTEXTS)
+            for i in range(0, CONTEXTS, STEP):
+                one = order[i : i + STEP]
+                r = (self.two[:, None] + self.one[one]).reshape(-1, SIZE)
+                g = _pull_of((thrice[:, one].reshape(-1, CLASSES) / n).astype(np.float32), r @ self.out.T + self.bias, noise)
+                gr = (g @ self.out).reshape(CONTEXTS, len(one), SIZE)
+                steps[2].up(g.T @ r)
+                steps[3].up(g.sum(axis=0))
+                steps[0].up(gr.sum(axis=0), one)
+                steps[1].up(gr.sum(axis=1))
+
+    def _train_own(self, counted: Statistics, index: Index) -> None:
+        """Own tokens as context: what they add to their class's vector, with what stands two places before as after that class on average."""
+        share = counted.thrice.sum(axis=2, dtype=np.float64)
+        mean = (share / np.maximum(share.sum(axis=0), 1)).T.astype(np.float32) @ self.two
+        noise = NOISE * np.exp(self.bias)
+        for i in range(0, index.own, BATCH):
+            j = slice(i, min(i + BATCH, index.own))
+            c = index.class_of[j]
+            fixed, n = self.one[c] + mean[c], counted.after[j].astype(np.float32)
+            step = Steps(self.own[j])
+            for _ in range(PASSES):
+                g = _pull_of(n, (fixed + step.x) @ self.out.T + self.bias, noise)
+                step.up(g @ self.out - PULL * step.x)
+
+    def _train_inner(self, inner: np.ndarray, index: Index, n: float) -> None:
+        near = Steps(self.near)
+        groups = []
+        for c in range(SINGLE, CLASSES):
+            at = np.flatnonzero(index.class_of == c)
+            x, bias = Steps(self.leaf[at]), Steps(self.leaf_bias[at])
+            groups.append((at, (inner[:, at] / n).astype(np.float32), NOISE * np.exp(bias.x), x, bias))
+        for _ in range(PASSES):
+            for _, seen, noise, x, bias in groups:
+                g = _pull_of(seen, self.near @ x.x.T + bias.x, noise)
+                gn = g @ x.x
+                x.up(g.T @ self.near - PULL / n * x.x)
+                bias.up(g.sum(axis=0))
+                near.up(gn)
+        for at, _, _, x, bias in groups:
+            self.leaf[at], self.leaf_bias[at] = x.x, bias.x
+
+    def inner_log10(self, index: Index) -> np.ndarray:
+        """log10 P(target | class, class before) by class before and target."""
+        s = (self.near @ self.leaf.T + self.leaf_bias).astype(np.float32)
+        for c in range(SINGLE, CLASSES):
+            at = np.flatnonzero(index.class_of == c)
+            x = s[:, at]
+            x -= x.max(axis=1, keepdims=True)
+            s[:, at] = (x - np.log(np.exp(x).sum(axis=1, keepdims=True))) / np.float32(np.log(10))
+        return s
+
+    def log10_of(self, one: np.ndarray, two: np.ndarray, own: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log10 P(class | context); ``own`` is the number of the token before, the last one for those without.  A context that recurs is normalised once."""
+        # A token's own number tells its class, so that it can stand for it.
+        before_ = np.where(own < len(self.own) - 1, CONTEXTS + own, one)
+        seen, where = np.unique(before_ * CONTEXTS + two, return_inverse=True)
+        first = np.empty(len(seen), np.int64)
+        first[where] = np.arange(len(where))
+        order = np.argsort(where, kind="stable")
+        ends = np.searchsorted(where[order], np.arange(0, len(seen) + BATCH, BATCH))
         out = np.empty(len(target))
-        for i in range(0, len(target), BATCH):
-            j = slice(i, i + BATCH)
-            r = self.context(*(x[j] for x in before))
-            s = r @ self.out.T
+        for k in range(len(ends) - 1):
+            at = first[k * BATCH : (k + 1) * BATCH]
+            s = (self.one[one[at]] + self.two[two[at]] + self.own[own[at]]) @ self.out.T
             s += self.bias
             s -= s.max(axis=1, keepdims=True)
-            x = s[np.arange(len(s)), target[j]].astype(np.float64)
-            np.exp(s, out=s)
-            x -= np.log(s.sum(axis=1))
-            if self.own:
-                node, side, who, has, begin = tree.paths(leaf[j])
-                if len(node):
-                    w = self.rows[self.at_node + node]
-                    y = (np.einsum("ij,ij->i", w[:, :SIZE], r[who]) + w[:, SIZE]) * (1 - 2 * side)
-                    x[has] -= np.add.reduceat(np.log1p(np.exp(-np.abs(y))) + np.maximum(y, 0), begin)
-            out[j] = x
+            norm = np.log(np.exp(s).sum(axis=1))
+            mine = order[ends[k] : ends[k + 1]]
+            row = where[mine] - k * BATCH
+            out[mine] = s[row, target[mine]] - norm[row]
         return out / np.log(10)
 
-    def log10_table(self) -> np.ndarray:
-        """log10 P(class | two classes before) for all contexts, flat."""
-        k = CLASSES + 1
-        r = (self.one[:, None, :] + self.two[None, :, :]).reshape(k * k, SIZE)
-        table = np.empty((k * k, CLASSES), np.float32)
-        for i in range(0, k * k, BATCH):
-            s = r[i : i + BATCH] @ self.out.T + self.bias
-            s -= s.max(axis=1, keepdims=True)
-            table[i : i + BATCH] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.float32(np.log(10))
-        return table.ravel()
-
 
-def placed(tokens: list[bytes], lengths: np.ndarray, index: Index, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Each token's place, class and leaf, and what stands before it: classes and own numbers by place."""
-    at, classes = index.look(tokens)
-    own, leaf = tree.places(at, classes)
-    return at, classes, leaf, [*contexts(classes, lengths), *contexts(own, lengths, tree.own)]
+def placed(tokens: list[bytes], index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's place, class and target inside the class, and its own number as context."""
+    at, classes, leaf = index.look(tokens)
+    return at, classes, leaf, np.where((classes >= SINGLE) & (leaf < index.own), leaf, index.own)
 
 
-def train_on(v: Vectors, texts: Iterable[bytes | None], index: Index, tree: Tree, mass: np.ndarray, rng: np.random.Generator) -> int:
-    share = mass / mass.sum()
-    noise_log, noise_at = np.log(share).astype(np.float32), np.cumsum(share)
-    seen = 0
-    for tokens, lengths in portions(texts):
-        _, classes, leaf, before = placed(tokens, lengths, index, tree)
-        seen += len(classes)
-        for i in range(0, len(classes), BATCH):
-            j = slice(i, i + BATCH)
-            v.train([x[j] for x in before], classes[j], leaf[j], tree, noise_log, noise_at, rng)
-    return seen
+def log10_tokens(vectors: Vectors, inner: np.ndarray, classes: np.ndarray, leaf: np.ndarray, own: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 of each token's class and target, given the two tokens before."""
+    one, two = before(classes, lengths, 1, START), before(classes, lengths, 2, START)
+    out = vectors.log10_of(one, two, before(own, lengths, 1, len(vectors.own) - 1), classes)
+    return out + np.where(classes >= SINGLE, inner[one, leaf], 0.0)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -377,17 +339,17 @@ def count_tokens(train: DataFrame, own: Scratch, text: str = "text") -> tuple[Da
     """Counts of all tokens as a table (token, c), and what every worker holds of them."""
     counts = train.select(text).mapInArrow(lambda it: _counted(it, text), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
     counts = own.keep(counts, "counts")
-    # Tokens by the logarithm of their count: the least count with HOT tokens at most, and OWN at most.
+    short = F.octet_length("token") <= HOT_BYTES
+    # Tokens by the logarithm of their count: the least count with HOT tokens at most.
     octave = F.floor(F.log2("c") * 8)
-    steps = counts.groupBy(octave.alias("at")).agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("n"), F.min("c").alias("least")).collect()
+    steps = counts.groupBy(octave.alias("at"), short.alias("short")).agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("n"), F.min("c").alias("least")).collect()
     least, room = 2**62, HOT
-    for s in sorted(steps, key=lambda s: -s["at"]):
+    for s in sorted((s for s in steps if s["short"]), key=lambda s: -s["at"]):
         room -= s["types"]
         if room < 0:
             break
         least = s["least"]
-    least = min(least, OWN)
-    rows = counts.where(F.col("c") >= least).toArrow()
+    rows = counts.where((F.col("c") >= least) & short).toArrow()
     found = zip(rows.column("token").to_pylist(), rows.column("c").to_pylist(), strict=True)
     hot = dict(sorted(found, key=lambda x: (-x[1], x[0])))
     single = [*hot][:SINGLE]
@@ -397,57 +359,37 @@ def count_tokens(train: DataFrame, own: Scratch, text: str = "text") -> tuple[Da
         mass[r["class"]] += r["mass"]
     for i, t in enumerate(single):
         mass[i] = hot[t] + 0.5
-    return counts, Counts(sum(s["n"] for s in steps), sum(s["types"] for s in steps), hot, mass)
+    return counts, Counts(sum(s["n"] for s in steps), sum(s["types"] for s in steps), hot, least, mass)
 
 
-def fit_vectors(train: DataFrame, counts: Counts, held: Held, key, text: str = "text") -> np.ndarray:
-    """Parameters after a start on a bounded sample and one averaged pass over all training texts.
+def gather(train: DataFrame, held: Held, text: str = "text") -> Statistics:
+    """The counts of all training texts, at most as many numbers as :class:`Statistics` has."""
 
-    The sample: whole texts of at most 20,000 characters, those with the
-    smallest hashes of ``key`` that START_CHARS hold.
-    """
-    tree = held.tree(counts.mass)
-    v = Vectors.fresh(counts.mass, tree)
-    usable = train.where(F.length(text) <= 20_000)
-    size = usable.agg(F.sum(F.length(text))).first()[0] or 0
-    share = min(1.0, START_CHARS / max(size, 1))
-    drawn = usable.where(F.shiftrightunsigned(F.xxhash64(key), 1) / float(2**63) < share).select(F.xxhash64(key).alias("k"), F.col(text).cast("binary").alias("t")).orderBy("k").limit(START_TEXTS)
-    texts = [bytes(r["t"]) for r in sorted(drawn.collect(), key=lambda r: (r["k"], r["t"]))] if size else []
-    rng = np.random.default_rng(11)
-    for _ in range(3):
-        train_on(v, texts, held.index(), tree, counts.mass, rng)
-    mass = counts.mass
-    start = train.sparkSession.sparkContext.broadcast((v.rows, v.sums, v.own_sums))
-
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, seen = Vectors(*(x.copy() for x in start.value)), 0
-        rng = np.random.default_rng(TaskContext.get().partitionId())
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.index()
+        mine = Statistics(index)
         for b in batches:
-            seen += train_on(mine, texts_of(b.column(0)), held.index(), held.tree(mass), mass, rng)
-        if seen:
-            mine.hits[:SHARED] = seen
-            for i in range(0, len(mine.rows), BLOCK):
-                j = slice(i, i + BLOCK)
-                at = np.flatnonzero(mine.hits[j])
-                if len(at):
-                    moved = (mine.rows[j][at] - start.value[0][j][at]).astype(np.float16)
-                    parts = (at.astype(np.uint16), mine.hits[j][at], moved)
-                    yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["block", "at", "hits", "moved"])
-
-    def mean(t: pa.Table) -> pa.Table:
-        total, hits = np.zeros((BLOCK, SIZE + 1)), np.zeros(BLOCK)
-        for at, h, m in zip(*(t.column(c).to_pylist() for c in ("at", "hits", "moved")), strict=True):
-            at, h = np.frombuffer(at, np.uint16), np.frombuffer(h, np.float32).astype(np.float64)
-            total[at] += np.frombuffer(m, np.float16).reshape(-1, SIZE + 1) * h[:, None]
-            hits[at] += h
-        x = (total / np.maximum(hits, 1)[:, None]).astype(np.float32)
-        return pa.table([t.column("block").slice(0, 1), pa.array([x.tobytes()], pa.binary())], names=["block", "x"])
-
-    moved = train.select(text).coalesce(TRAINERS).mapInArrow(go_on, "block int, at binary, hits binary, moved binary").groupBy("block").applyInArrow(mean, "block int, x binary")
-    for r in moved.collect():
-        here = v.rows[r["block"] * BLOCK : (r["block"] + 1) * BLOCK]
-        here += np.frombuffer(r["x"], np.float32).reshape(-1, SIZE + 1)[: len(here)]
-    return v.rows
+            for tokens, lengths in portions(texts_of(b.column(0))):
+                _, classes, leaf, _ = placed(tokens, index)
+                mine.add(classes, leaf, lengths, index)
+        at = np.flatnonzero(mine.flat)
+        for i in range(0, len(at), 100_000):
+            j = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(mine.flat[j].astype(np.int64))], names=["at", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column("at").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        if got:
+            at, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            by = np.argsort(at)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (np.diff(at[by], prepend=0).astype(np.int32), n[by])], names=["at", "n"])
+
+    rows = train.select(text).mapInArrow(seen, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).mapInArrow(packed, "at binary, n binary")
+    index = held.index()
+    out = Statistics(index, np.zeros_like(Statistics(index).flat, np.float32))
+    for r in rows.toLocalIterator():
+        out.flat[np.cumsum(np.frombuffer(zlib.decompress(r["at"]), np.int32))] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
+    return out
 
 
 class Held:
@@ -455,22 +397,21 @@ class Held:
 
     def __init__(self, spark, counts: Counts):
         # Tokens hold no space, so one string and one array carry them all.
-        self.hot = spark.sparkContext.broadcast((b" ".join(counts.hot), np.fromiter(counts.hot.values(), np.int64, len(counts.hot))))
+        self.hot = spark.sparkContext.broadcast((b" ".join(counts.hot), np.fromiter(counts.hot.values(), np.int64, len(counts.hot)), counts.mass, counts.own))
         #: The broadcast parameters, once they are fitted.
-        self.rows = None
+        self.fitted = None
         self.name = (spark.sparkContext.applicationId, self.hot._jbroadcast.id())
 
     def __getstate__(self):
-        return {"hot": self.hot, "rows": self.rows, "name": self.name}
+        return {"hot": self.hot, "fitted": self.fitted, "name": self.name}
 
     def index(self) -> Index:
-        return _built(self.name, "index", lambda: Index(dict(zip(self.hot.value[0].split(b" "), self.hot.value[1].tolist(), strict=False))))
+        tokens, n, mass, own = self.hot.value
+        return _built(self.name, "index", lambda: Index(dict(zip(tokens.split(b" "), n.tolist(), strict=False)), mass, own))
 
-    def tree(self, mass: np.ndarray) -> Tree:
-        return _built(self.name, "tree", lambda: Tree(self.index(), mass))
-
-    def vectors(self) -> Vectors:
-        return Vectors(self.rows.value)
+    def vectors(self) -> tuple[Vectors, np.ndarray]:
+        """The parameters, and the table of targets inside classes."""
+        return _built(self.name, "vectors", lambda: (self.fitted.value, self.fitted.value.inner_log10(self.index())))
 
 
 _BUILT: dict[str, tuple] = {}
@@ -482,20 +423,29 @@ def _built(name, what, make):
     return _BUILT[what][1]
 
 
-def _scored(batches: Iterator[pa.RecordBatch], text: str, held: Held, mass: np.ndarray) -> Iterator[pa.RecordBatch]:
-    index, tree, vectors, log_mass = held.index(), held.tree(mass), held.vectors(), np.log10(mass)
+def fit(train: DataFrame, counts: Counts, held: Held, text: str = "text") -> Vectors:
+    """Parameters fitted to all training texts."""
+    v = Vectors(held.index(), counts.mass)
+    v.train(gather(train, held, text), held.index())
+    return v
+
+
+def _scored(batches: Iterator[pa.RecordBatch], text: str, held: Held) -> Iterator[pa.RecordBatch]:
+    index, (vectors, inner) = held.index(), held.vectors()
+    log_mass = np.log10(np.concatenate([index.mass, [1.0]]))
     ids = count(TaskContext.get().partitionId() << 33)
     for b in batches:
         done = 0
         for tokens, lengths in portions(texts_of(b.column(text))):
             rows = b.slice(done, len(lengths))
             done += len(lengths)
-            at, classes, leaf, before = placed(tokens, lengths, index, tree)
+            at, classes, leaf, own = placed(tokens, index)
             first = np.cumsum(lengths) - lengths
             known = at >= 0
             hot = np.where(known, index.log10.take(np.maximum(at, 0), mode="clip") if len(index.log10) else 0.0, 0.0)
-            # Counts come in by the places and the join: all of a single or own token's, a rarer one's share of its leaf.
-            lm = vectors.log10_of(before, classes, leaf, tree) - np.where(classes < SINGLE, log_mass[classes], tree.log10[leaf])
+            # Counts come in by the places and the join: all of a single token's and of an own one's, a rarer one's share of its target.
+            whole = np.where(classes < SINGLE, hot, log_mass[np.where(classes < SINGLE, -1, leaf)])
+            lm = log10_tokens(vectors, inner, classes, leaf, own, lengths) - whole
             rare: list[bytes] = []
             tf: list[int] = []
             ends = [0]
@@ -513,30 +463,28 @@ def _scored(batches: Iterator[pa.RecordBatch], text: str, held: Held, mass: np.n
             yield pa.RecordBatch.from_arrays([*(x for _, x in keep), *new], names=[*(c for c, _ in keep), "_rid", "_n", "_known", "_hot", "_lm", "_rare"])
 
 
-def score_texts(docs: DataFrame, train: DataFrame, key, text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10; replaced if there).
 
-    ``train`` has the texts to learn from, ``key`` a column that orders its
-    sample.  A null or empty text is its end alone; nothing to learn from gives
-    even chances to the classes; repeated rows are each scored; an empty table
-    stays empty.
+    ``train`` has the texts to learn from.  A null or empty text is its end
+    alone; nothing to learn from gives even chances to the classes; repeated
+    rows are each scored, and each learned from; an empty table stays empty.
     """
     spark = docs.sparkSession
     ship(spark)
     own = Scratch(spark, "lm")
-    train = train.select(F.col(text).alias("_text"), F.xxhash64(key).alias("_key"))
+    train = train.select(F.col(text).alias("_text"))
     table, counts = count_tokens(train, own, "_text")
-    held, mass = Held(spark, counts), counts.mass
-    held.rows = spark.sparkContext.broadcast(fit_vectors(train, counts, held, F.col("_key"), "_text"))
+    held = Held(spark, counts)
+    held.fitted = spark.sparkContext.broadcast(fit(train, counts, held, "_text"))
     shield = Shield(docs)
     docs, outer, text = shield.inner, text, shield(text)
     pairs = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("tf", T.LongType())]))
     new = [("_rid", T.LongType()), ("_n", T.LongType()), ("_known", T.LongType()), ("_hot", T.DoubleType()), ("_lm", T.DoubleType()), ("_rare", pairs)]
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != text), *(T.StructField(*x) for x in new)])
-    local = own.keep(docs.mapInArrow(lambda it: _scored(it, text, held, mass), schema), "local")
-    least = min(counts.hot.values(), default=2**62)
+    local = own.keep(docs.mapInArrow(lambda it: _scored(it, text, held), schema), "local")
     rare = local.select("_rid", F.explode("_rare").alias("r")).select("_rid", F.col("r.token").alias("token"), F.col("r.tf").alias("tf"))
-    rare = rare.join(table.where(F.col("c") < least), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rare = rare.join(table.where((F.col("c") < counts.least) | (F.octet_length("token") > HOT_BYTES)), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rest = rare.groupBy("_rid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 0.5)).alias("_s"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("_k"))
     out = local.drop("_rare").join(rest, "_rid", "left")
     counted = F.col("_hot") + F.coalesce("_s", F.lit(0.0))

@@ -63,7 +63,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_mod(F.col("doc_id"), 5) == 1
-    out = lm.score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), docs.where(~held_out), F.col("doc_id"))
+    out = lm.score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), docs.where(~held_out))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -285,7 +285,7 @@ def test_mixing_edges(odd, none):
 
 def test_lm_edges_and_counts(odd, none):
     train = odd.where("doc_id % 3 <> 1 OR doc_id IS NULL")
-    out = lm.score_texts(odd, train, F.col("doc_id"))
+    out = lm.score_texts(odd, train)
     assert "text" not in out.columns and [c for c in CLASHES if c.lower() not in ("score", "n_tokens")] == [c for c in out.columns if c in CLASHES and c not in ("score", "n_tokens")]
     token = lambda t: [*words(t), "\n"]
     counts = collections.Counter(w for r in train.select("text").collect() for w in token(r.text))
@@ -295,19 +295,89 @@ def test_lm_edges_and_counts(odd, none):
     got = out.collect()
     assert texts == collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got)
     assert {r.train_tokens for r in got} == {n} and all(math.isfinite(r.score) and r.score < 0 for r in got)
-    assert lm.score_texts(none, train, F.col("doc_id")).count() == 0
-    assert all(math.isfinite(r.score) for r in lm.score_texts(odd.limit(5), none, F.col("doc_id")).collect())
+    assert lm.score_texts(none, train).count() == 0
+    assert all(math.isfinite(r.score) for r in lm.score_texts(odd.limit(5), none).collect())
+
+
+def lm_of(tokens):
+    """Model and index of a vocabulary {token: count}, with an unknown token's half a count in each class."""
+    hot = dict(sorted(tokens.items(), key=lambda x: (-x[1], x[0])))
+    mass = np.full(lm.CLASSES, 0.5)
+    for i, (t, c) in enumerate(hot.items()):
+        if i < lm.SINGLE:
+            mass[i] = c + 0.5
+        else:
+            mass[lm.surface(t)] += c + 0.5
+    return lm.Index(hot, mass, max(0, sum(c >= lm.OWN for c in hot.values()) - lm.SINGLE)), mass
 
 
 def test_lm_probabilities_add_up():
-    mass = np.random.default_rng(2).random(lm.CLASSES) + 0.1
-    v = lm.Vectors.fresh(mass)
-    table = v.log10_table().reshape(-1, lm.CLASSES)
-    assert (10.0 ** table.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(table)), abs=1e-4)
-    # In a class: known tokens by count plus a half, all unknown ones a half, over the class's mass.
-    counts = {b"one": 3, b"two": 1}
-    total = 0.5 + sum(c + 0.5 for c in counts.values())
-    assert sum((c + 0.5) / total for c in counts.values()) + 0.5 / total == pytest.approx(1)
+    """Of all known tokens and the unknown ones of each class, after any two tokens, whatever the vectors."""
+    rng = np.random.default_rng(2)
+    tokens = {b"w%d%c" % (i % 40, 97 + i % 26): max(1, 900 - i) for i in range(1_000)}
+    index, mass = lm_of(tokens)
+    v = lm.Vectors(index, mass)
+    assert 100 < index.own < 900 - lm.SINGLE
+    v.own[:-1], v.leaf_bias[:] = rng.normal(0, 0.5, v.own[:-1].shape), rng.normal(0, 1, v.leaf_bias.shape)
+    inner = v.inner_log10(index)
+    known = [*index][: len(tokens)]
+    for context in ([known[3], known[lm.SINGLE + 5]], [known[-1], b"never"], [known[lm.SINGLE + 9]], []):
+        total = 0.0
+        for t in known:
+            at, classes, leaf, own = lm.placed([*context, t], index)
+            share = (tokens[t] + 0.5) / (mass[classes[-1]] if classes[-1] < lm.SINGLE else index.mass[leaf[-1]])
+            total += share * 10 ** lm.log10_tokens(v, inner, classes, leaf, own, np.array([len(context) + 1]))[-1]
+        for c in range(lm.SINGLE, lm.CLASSES):
+            _, classes, leaf, own = lm.placed([*context, b"x"], index)
+            classes[-1], leaf[-1] = c, index.own + c - lm.SINGLE
+            total += 0.5 / index.mass[leaf[-1]] * 10 ** lm.log10_tokens(v, inner, classes, leaf, own, np.array([len(context) + 1]))[-1]
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_scores_by_brute_force(odd, none, monkeypatch):
+    """Scores of the whole way, from the same vectors by plain sums of exponentials, one token at a time."""
+    monkeypatch.setattr(lm, "OWN", 3)
+    monkeypatch.setattr(lm, "PASSES", 2)
+    monkeypatch.setattr(lm, "HOT", 250)
+    fitted = {}
+    plain = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda train, counts, held, text: fitted.setdefault("v", plain(train, counts, held, text)))
+    train = odd.where("doc_id < 230")
+    got = {(r.doc_id, r.text): r.score for r in lm.score_texts(odd.withColumn("copy", F.col("text")), train).withColumnRenamed("copy", "text").collect()}
+    counts = collections.Counter(w for r in train.select("text").collect() for w in [*(x.encode() for x in words(r.text)), lm.END])
+    order = sorted(counts, key=lambda t: (-counts[t], t))
+    v = fitted["v"]
+    own = [t for t in order if counts[t] >= 3][lm.SINGLE :]
+    cls = lambda t: order.index(t) if t in order[: lm.SINGLE] else lm.surface(t)
+    members = collections.defaultdict(list)
+    for t in counts:
+        members[cls(t)].append(t)
+    soft = lambda s: s - math.log(sum(math.exp(x) for x in s))
+    for (_, text), score in got.items():
+        if len(text or "") > 2_000:
+            continue
+        total, seen = 0.0, []
+        for t in [*(x.encode() for x in words(text)), lm.END]:
+            c = cls(t)
+            one, two = (cls(seen[-1]) if seen else lm.START), (cls(seen[-2]) if len(seen) > 1 else lm.START)
+            r = v.one[one].astype(float) + v.two[two] + (v.own[own.index(seen[-1])] if seen and seen[-1] in own else 0)
+            total += soft(v.out @ r + v.bias)[c] / math.log(10)
+            if c >= lm.SINGLE:
+                inside = [i for i, t2 in enumerate(own) if cls(t2) == c] + [len(own) + c - lm.SINGLE]
+                p = soft(v.leaf[inside].astype(float) @ v.near[one] + v.leaf_bias[inside])
+                if t in own:
+                    total += p[inside.index(own.index(t))] / math.log(10)
+                else:
+                    rest = 0.5 + sum(counts[x] + 0.5 for x in members[c] if x not in own)
+                    total += p[-1] / math.log(10) + math.log10((counts[t] + 0.5) / rest)
+            seen.append(t)
+        assert score == pytest.approx(total, abs=1e-3 + 1e-5 * len(seen))
+
+
+def test_lm_is_the_same_however_rows_are_dealt(odd):
+    train = odd.where("doc_id is null or doc_id < 230")
+    one, six = ({(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm.score_texts(odd.repartition(n), train.repartition(n)).collect()} for n in (1, 6))
+    assert one == six
 
 
 def test_lm_learns(spark):
@@ -315,7 +385,7 @@ def test_lm_learns(spark):
     rng = random.Random(6)
     text = lambda: " ".join(w for _ in range(60) for w in rng.choice([("a", "b"), ("c", "d"), ("e", "f")]))
     docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
-    got = lm.score_texts(docs.where("doc_id >= 250"), docs.where("doc_id < 250"), F.col("doc_id")).collect()
+    got = lm.score_texts(docs.where("doc_id >= 250"), docs.where("doc_id < 250")).collect()
     assert all(r.score > 0.8 * r.base_score for r in got)
 
 
@@ -328,34 +398,11 @@ def test_lm_tells_words_of_one_class_apart(spark):
     train = spark.createDataFrame([(i, text(i)) for i in range(400)], "doc_id long, text string")
     asked = ["left xxa", "left xxb", "right xxb", "right xxa", "xxa up", "xxb up", "xxb down", "xxa down"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
-    got = {asked[r.doc_id]: r.score for r in lm.score_texts(docs, train, F.col("doc_id")).collect()}
+    got = {asked[r.doc_id]: r.score for r in lm.score_texts(docs, train).collect()}
     for good, bad in (asked[i : i + 2] for i in range(0, len(asked), 2)):
         assert got[good] > got[bad] + 0.1, (good, bad)
 
 
-def test_lm_trees_add_up():
-    hot = {b"t%d" % i: 1000 for i in range(lm.SINGLE)} | {b"w%d%c" % (i % 40, 97 + i % 26): 900 - i for i in range(500)}
-    index = lm.Index(hot)
-    mass = np.full(lm.CLASSES, 7.5)
-    for i, t in enumerate(hot):
-        mass[i if i < lm.SINGLE else lm.surface(t)] += hot[t] + 0.5
-    tree = lm.Tree(index, mass)
-    v = lm.Vectors.fresh(mass, tree)
-    assert tree.own == len(hot) - lm.SINGLE
-    rng = np.random.default_rng(3)
-    leaf = np.arange(tree.own + lm.SURFACES)
-    of = np.concatenate([index.classes[lm.SINGLE :], lm.SINGLE + np.arange(lm.SURFACES)])
-    here = [np.full(len(leaf), x) for x in (lm.SINGLE, lm.START, 3, tree.own)]
-    # As made, a leaf has its share of the counts; with any vectors all of them add up to one.
-    v.rows[: lm.SHARED, : lm.SIZE] = 0
-    expected = np.log10(mass[of] / mass.sum()) + tree.log10[leaf] - np.log10(mass[of])
-    assert v.log10_of(here, of, leaf, tree) == pytest.approx(expected, abs=1e-3)
-    v.rows[:] = rng.normal(0, 0.5, v.rows.shape)
-    singles = [np.full(lm.SINGLE, x[0]) for x in here]
-    rest = v.log10_of(singles, np.arange(lm.SINGLE), np.full(lm.SINGLE, tree.own + lm.SURFACES), tree)
-    assert (10.0 ** np.concatenate([v.log10_of(here, of, leaf, tree), rest])).sum() == pytest.approx(1, abs=1e-4)
-
-
 # Quality
 
 
