@@ -117,13 +117,35 @@ class translated:
                 raise AggregateOverflow("SUM") from error
 
 
+_SESSIONS: dict[tuple[str, int], SparkSession] = {}
+
+
+def _session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with its SQL settings and those of SETTINGS; one for all engines of a session."""
+    key = spark.sparkContext.applicationId, spark._jsparkSession.hashCode()
+    if spark in _SESSIONS.values():
+        return spark
+    if key not in _SESSIONS:
+        _SESSIONS[key] = spark.newSession()
+    own = _SESSIONS[key]
+    mine = own.conf.getAll
+    for k, v in (spark.conf.getAll | SETTINGS).items():
+        if mine.get(k) != v and k.startswith("spark.sql.") and own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
 class Engine:
-    """Tables by name.  Managed tables can be changed, external ones only read."""
+    """Tables by name.  Managed tables can be changed, external ones only read.
+
+    Statements run in a session of the engine's own beside the given one; a
+    frame to bind is best made by ``engine.spark``, as it is planned under the
+    settings of the session that made it.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        for k, v in SETTINGS.items():
-            spark.conf.set(k, v)
+        #: A session of the engine's own: its settings aren't the caller's.
+        self.spark = _session(spark)
         self.tables: dict[int, ManagedTable | ExternalTable] = {}
         self.schema = Schema()
         self._transactions: list[Transaction] = []
@@ -136,11 +158,12 @@ class Engine:
         self.schema = Schema([*self.schema.tables, *(t.table for t in tables)])
         self.tables |= {t.table.id: t for t in tables}
 
-    def bind_parquet(self, table: TableDef, path: str) -> None:
-        self._add([ExternalTable.parquet(self.spark, table, path)])
+    def bind_parquet(self, table: TableDef, path: str, verify: bool = False) -> None:
+        """``verify`` reads the files once to see that they hold what the definition says; see :class:`ExternalTable`."""
+        self._add([ExternalTable(table, self.spark.read.parquet(path), verify)])
 
-    def bind_frame(self, table: TableDef, frame: DataFrame) -> None:
-        self._add([ExternalTable(table, frame)])
+    def bind_frame(self, table: TableDef, frame: DataFrame, verify: bool = False) -> None:
+        self._add([ExternalTable(table, frame, verify)])
 
     def create(self, tables: Sequence[tuple[TableDef, str]]) -> None:
         """Create all tables or none; a failure removes only what this call made."""
@@ -176,6 +199,12 @@ class Engine:
     def _read(self, table_id: int) -> DataFrame:
         return self.tables[table_id].frame()
 
+    def _fresh(self, table_id: int) -> None:
+        """Go on from what other engines have committed, unless a transaction here writes the table."""
+        table = self.tables[table_id]
+        if isinstance(table, ManagedTable) and table_id not in self._writers:
+            table.refresh()
+
     # Compilation
 
     def compile(self, sql: str) -> L.Statement:
@@ -205,6 +234,8 @@ class Engine:
         return self._rows(s)
 
     def _rows(self, q: L.Query) -> Rows:
+        for table_id in L.read_tables(q):
+            self._fresh(table_id)
         columns = tuple(ResultColumn(f.name, f.type, f.nullable, f if isinstance(f, L.ColumnRef) else None) for f in q.fields)
         return Rows(columns, lower.query(q, self._read))
 
@@ -278,7 +309,8 @@ class Engine:
         return self._writers.get(table.table.id)
 
     def _claim(self, t: Transaction) -> None:
-        """The first change makes a transaction its table's only writer."""
+        """The first change makes a transaction its table's only writer here; a change by another engine since then makes its commit fail."""
+        self._fresh(t.table.table.id)
         holder = self._writers.setdefault(t.table.table.id, t)
         if holder is not t:
             raise TransactionError(f"{t.table.table.name} is being written by another transaction")
@@ -298,27 +330,37 @@ class Engine:
                 table.append(one)
                 return Affected(1)
             hit = lower.expression(s.predicate) if s.predicate else F.lit(True)
-            rows = lower.scan(s.scan, self._read)
-            n = rows.agg(F.count_if(hit)).first()[0]
-            if n:
-                if isinstance(s, L.Delete):
-                    kept = rows.where(~F.coalesce(hit, F.lit(False)))
-                    new = {c.internal: F.col(c.internal) for c in s.scan.columns}
-                else:
-                    kept = rows
-                    new = {c.internal: F.col(c.internal) for c in s.scan.columns}
+            found = table.hits(lambda rows: lower.scan(s.scan, lambda _: rows).where(hit))
+            if found:
+                new = {c.internal: F.col(c.internal) for c in s.scan.columns}
+                if isinstance(s, L.Update):
                     # Every value is computed from the row as it was.
                     new |= {c.internal: F.when(hit, lower.expression(v)).otherwise(F.col(c.internal)) for c, v in s.assignments}
-                table.replace(kept.select([new[c.internal].alias(c.name) for c in s.scan.columns]))
-            return Affected(n)
+
+                def changed(rows: DataFrame) -> DataFrame:
+                    rows = lower.scan(s.scan, lambda _: rows)
+                    if isinstance(s, L.Delete):
+                        rows = rows.where(~F.coalesce(hit, F.lit(False)))
+                    return rows.select([new[c.internal].alias(c.name) for c in s.scan.columns])
+
+                table.rewrite(list(found), changed)
+            return Affected(sum(found.values()))
 
     # Upkeep
 
     def create_index(self, table_id: int, column: str) -> None:
-        self._managed(table_id).create_index(column)
+        self._unwritten(table_id).create_index(column)
 
     def analyze(self, table_id: int) -> None:
-        self._managed(table_id).analyze()
+        """Count the committed rows; refused while a transaction writes the table."""
+        self._unwritten(table_id).analyze()
+
+    def _unwritten(self, table_id: int) -> ManagedTable:
+        table = self._managed(table_id)
+        if table_id in self._writers:
+            raise TransactionError(f"{table.table.name} is being written by a transaction")
+        table.refresh()
+        return table
 
     def flush(self) -> None:
         """Commits are durable at once; nothing is left to do."""

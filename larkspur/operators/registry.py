@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.engine import Engine
+from larkspur.errors import TransactionError
 from larkspur.plans.bind import bind
 from larkspur.plans.logical import scans
 from larkspur.schema import ColumnDef, Schema, TableDef
+from larkspur.sources.storage import shared_dir
 from larkspur.sql.parser import parse
 from larkspur.types import BOOL, INT64, TEXT, UINT64
 
@@ -64,7 +65,7 @@ def engine(spark: SparkSession, sf_dir: str, sql: str | None = None) -> Engine:
             found.bind_parquet(t, f"{sf_dir}/{t.name}.parquet")
     if ORDERS_N.name not in used:
         return found
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = found.spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.col("o_orderkey")
     found.bind_frame(
         ORDERS_N,
@@ -150,12 +151,14 @@ def _statement(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _unsigned_as_long(engine(spark, sf_dir, sql).query(sql).frame)
 
 
+PAIRS = _table(1, "pairs", "id:I a:I b:I? note:T?")
+
+
 def _copy(spark: SparkSession, sf_dir: str) -> Engine:
-    """A managed table ``pairs`` of the nations, in the session's shared folder if it has one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+    """A managed table ``pairs`` of the nations, in the session's shared folder."""
     e = Engine(spark)
-    e.create([(_table(1, "pairs", "id:I a:I b:I? note:T?"), f"{shared.rstrip('/')}/pairs-{uuid.uuid4().hex}")])
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", "n_name").orderBy("n_nationkey").collect()
+    e.create([(PAIRS, f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}")])
+    rows = e.spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", "n_name").orderBy("n_nationkey").collect()
     e.insert(1, [(r[0], r[1], None if r[0] % 3 == 0 else r[0] * 2, r[2]) for r in rows])
     return e
 
@@ -178,12 +181,47 @@ def _changed(*statements: str, commit: bool | None = None) -> Callable[[SparkSes
     return run
 
 
+def _conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two engines on one table: of changes that started from one version the second to commit is refused."""
+    e = _copy(spark, sf_dir)
+    other = Engine(spark)
+    other.open([(PAIRS, e.tables[1].store.root)])
+    t = e.begin(1)
+    e.execute_in(t, "DELETE FROM pairs WHERE id < 10")
+    other.execute("INSERT INTO pairs (id, a) VALUES (60, 6)")
+    try:
+        t.commit()
+    except TransactionError:
+        e.execute("UPDATE pairs SET a = 7 WHERE id = 60")
+    return other.query("SELECT * FROM pairs").frame
+
+
+def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of an analysis, which is refused while a transaction writes and sees committed rows only."""
+    e = _copy(spark, sf_dir)
+    e.create_index(1, "b")
+    t = e.begin(1)
+    e.execute_in(t, "DELETE FROM pairs WHERE id < 10")
+    try:
+        e.analyze(1)
+        refused = False
+    except TransactionError:
+        refused = True
+    t.rollback()
+    e.analyze(1)
+    m = e.tables[1].manifest
+    of = m["indexes"][0]["statistics"]
+    return e.spark.createDataFrame([(refused, m["statistics"]["row_count"], of["distinct_non_null_keys"], of["null_count"])], "refused boolean, row_count long, distinct_keys long, null_count long")
+
+
 _PAIRS_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS a, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_nationkey * 2 AS BIGINT) END AS b, n_name AS note FROM nation"
 CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "dml_update_swap": (_changed("UPDATE pairs SET b = a, note = NULL WHERE id >= 5 AND id < 15"), f"WITH p AS ({_PAIRS_SQL}) SELECT id, a, CASE WHEN id >= 5 AND id < 15 THEN a ELSE b END AS b, CASE WHEN id >= 5 AND id < 15 THEN NULL ELSE note END AS note FROM p"),
     "dml_delete_unknown": (_changed("DELETE FROM pairs WHERE b < 20"), f"WITH p AS ({_PAIRS_SQL}) SELECT * FROM p WHERE NOT coalesce(b < 20, FALSE)"),
     "dml_insert_default_null": (_changed("INSERT INTO pairs (id, a) VALUES (100, -7)", "INSERT INTO pairs (a, id, note) VALUES (1, 101, 'x')"), f"{_PAIRS_SQL} UNION ALL SELECT CAST(100 AS BIGINT), CAST(-7 AS BIGINT), NULL, NULL UNION ALL SELECT CAST(101 AS BIGINT), CAST(1 AS BIGINT), NULL, 'x'"),
     "txn_commit": (_changed("DELETE FROM pairs WHERE id = 1", "UPDATE pairs SET a = 9 WHERE id = 2", "INSERT INTO pairs (id, a) VALUES (50, 5)", commit=True), f"WITH p AS ({_PAIRS_SQL}) SELECT id, CASE WHEN id = 2 THEN 9 ELSE a END AS a, b, note FROM p WHERE id <> 1 UNION ALL SELECT 50, 5, NULL, NULL"),
+    "txn_conflict": (_conflict, f"{_PAIRS_SQL} UNION ALL SELECT 60, 7, NULL, NULL"),
+    "analyze_committed": (_analyzed, f"WITH p AS ({_PAIRS_SQL}) SELECT TRUE AS refused, count(*) AS row_count, count(DISTINCT b) AS distinct_keys, count(*) - count(b) AS null_count FROM p"),
     "txn_rollback": (_changed("DELETE FROM pairs", "INSERT INTO pairs (id, a) VALUES (50, 5)", commit=False), _PAIRS_SQL),
 }
 

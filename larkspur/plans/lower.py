@@ -59,7 +59,9 @@ def plan(p: L.Plan, read: Reader) -> DataFrame:
         case L.Join():
             left, right = plan(p.left, read), scan(p.right, read)
             if not inequality.has_equality(p.predicate, p.right.binding) and (found := inequality.bound(p.predicate, p.right.binding)):
-                left, right = inequality.prune(left, right, found)
+                holds = next(s for s in L.scans(p.left) if s.binding == found[0].binding)
+                left, right = inequality.prune(left, right, found, scan(holds, read))
+                return inequality.join(left, right, found, expression(p.predicate))
             return left.join(right, expression(p.predicate), "inner")
         case L.Filter():
             return plan(p.input, read).where(expression(p.predicate))

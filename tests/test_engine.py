@@ -1,6 +1,7 @@
 """Statements from text to rows, on managed tables and on the test tables."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspur import inspect
 from larkspur.engine import Affected, Engine, State
 from larkspur.errors import AggregateOverflow, CompileError, EngineError, ExpectedQuery, FingerprintMismatch, IndexRefused, InvalidRow, ResultTooLarge, SchemaError, TransactionError, Unauthorized
-from larkspur.operators import registry
+from larkspur.operators import inequality, registry
 from larkspur.schema import ColumnDef, TableDef
 from larkspur.session import Policy, Session, SessionError
 from larkspur.streaming.results import End, Row, Start
@@ -16,6 +17,7 @@ from larkspur.types import BOOL, I64_MAX, INT64, TEXT, U64_MAX, Physical, ValueT
 
 USER = ValueType(Physical.UINT64, "UserId")
 USERS = TableDef(1, "users", [ColumnDef(1, "id", USER), ColumnDef(2, "team", INT64, True), ColumnDef(3, "score", INT64, True), ColumnDef(4, "active", BOOL, True), ColumnDef(5, "name", TEXT)])
+#: Rows whose order, NULLs and ties the expected results below are known for.
 ROWS = [(1, 10, None, True, "A"), (2, 10, 20, None, "B"), (3, 20, 10, False, "C"), (4, None, None, True, "D"), (5, None, 20, True, "E")]
 SMALL = TableDef(2, "small", [ColumnDef(1, "id", INT64), ColumnDef(2, "a", INT64, True), ColumnDef(3, "b", INT64, True)])
 
@@ -167,6 +169,122 @@ def test_transactions(small):
         small.query("SELECT id FROM small")
 
 
+def test_two_engines_on_one_table(small, spark):
+    """Each sees what the other commits; of two changes from one version the second is refused and leaves nothing behind."""
+    other = Engine(spark)
+    other.open([(SMALL, small.tables[2].store.root)])
+    other.insert(2, [(4, 4, 4)])
+    assert small.insert(2, [(5, 5, 5)]) == 1
+    assert sorted(r[0] for e in (small, other) for r in rows(e, "SELECT id FROM small")) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    t = small.begin(2)
+    small.execute_in(t, "DELETE FROM small WHERE id < 4")
+    assert other.execute("UPDATE small SET a = 0 WHERE id = 5") == Affected(1)
+    with pytest.raises(TransactionError):
+        t.commit()
+    assert t.state is State.ROLLED_BACK
+    assert sorted(rows(small, "SELECT id, a FROM small")) == [(1, 10), (2, 30), (3, None), (4, 4), (5, 0)]
+    assert small.execute("DELETE FROM small WHERE id < 4") == Affected(3)
+    other.checkpoint()
+    assert sorted(rows(other, "SELECT id FROM small")) == [(4,), (5,)]
+    kept = [n for n in small.tables[2].store.names() if n.startswith("part-")]
+    assert sorted(kept) == sorted(other.tables[2].manifest["parts"])
+
+
+def test_analysis_counts_committed_rows(small):
+    t = small.begin(2)
+    small.insert_in(t, [(7, 7, 7)])
+    for refused in (lambda: small.analyze(2), lambda: small.create_index(2, "a")):
+        with pytest.raises(TransactionError):
+            refused()
+    t.rollback()
+    small.analyze(2)
+    assert small.tables[2].manifest["statistics"]["row_count"] == 3 == len(rows(small, "SELECT id FROM small"))
+
+
+def test_changes_rewrite_only_parts_with_a_hit(small):
+    small.insert(2, [(100 + i, i, None) for i in range(50)])
+    small.insert(2, [(200 + i, i, None) for i in range(50)])
+    table = small.tables[2]
+    before = list(table.manifest["parts"])
+    assert small.execute("UPDATE small SET b = 1 WHERE id = 120") == Affected(1)
+    assert [p for p in before if p in table.manifest["parts"]] == [before[0], before[2]] and len(table.manifest["parts"]) == 3
+    assert small.execute("DELETE FROM small WHERE id = 999") == Affected(0) and len(table.manifest["parts"]) == 3
+    t = small.begin(2)
+    small.execute_in(t, "INSERT INTO small (id) VALUES (300)")
+    assert small.execute_in(t, "UPDATE small SET a = id WHERE id >= 299 OR b = 1") == Affected(2)
+    assert small.execute_in(t, "DELETE FROM small WHERE id = 300") == Affected(1)
+    t.commit()
+    assert before[2] in table.manifest["parts"]
+    assert len(rows(small, "SELECT id FROM small")) == 103 and rows(small, "SELECT id, a FROM small WHERE b = 1") == [(120, 120)]
+
+
+def test_rows_added_after_an_index_are_sorted(small):
+    small.create_index(2, "a")
+    small.insert(2, [(i, (i * 37) % 100, None) for i in range(10, 110)])
+    table = small.tables[2]
+    got = [r.a for r in small.spark.read.parquet(table.store.path(table.manifest["parts"][-1])).collect()]
+    assert got == sorted(got) and len(got) == 100
+    found = inspect.statement(small, "SELECT id FROM small WHERE id > 3 AND 5 = a")
+    assert found["access_paths"] == [{"binding": 0, "table_id": 2, "columns_read": [1, 2, 3], "access": "point", "column_id": 2, "index": True, "sorted": True, "bounds": [{"op": "=", "value": 5}]}]
+    assert "PushedFilters" in found["physical"] and "EqualTo(a,5)" in found["physical"]
+
+
+def test_access_paths_and_join_strategies(small):
+    told = lambda sql: (lambda f: ([p["access"] for p in f["access_paths"]], [j["strategy"] for j in f["joins"]]))(inspect.statement(small, sql))
+    assert told("SELECT id FROM small") == (["full"], [])
+    assert told("SELECT id FROM small WHERE a >= 1 AND a < 9") == (["range"], [])
+    assert told("SELECT id FROM small WHERE b IS NULL") == (["null"], [])
+    assert told("SELECT x.id FROM small x JOIN small y ON x.a = y.b JOIN small z ON z.id > x.b WHERE y.id = 4") == (["full", "point", "full"], ["equality", "inequality"])
+    assert told("SELECT x.id FROM small x JOIN small y ON x.a = 1 OR y.a = 2") == (["full", "full"], ["nested_loop"])
+    assert "by inequality" in inspect.to_text(inspect.statement(small, "SELECT x.id FROM small x JOIN small y ON x.a < y.b"))
+
+
+@pytest.mark.parametrize(("op", "sizes"), [("<", (700, 90)), ("<=", (90, 700)), (">", (90, 700)), (">=", (300, 80)), ("<", (1, 300)), (">", (300, 0))])
+def test_inequality_joins_by_range(spark, monkeypatch, op, sizes):
+    """Sides too large to broadcast give the same pairs, each once."""
+    rng = random.Random(str((op, sizes)))
+    frames = []
+    for n in sizes:
+        frames.append(spark.createDataFrame([(i, None if rng.random() < 0.1 else int(rng.gauss(0, 40)), rng.choice("abcdé")) for i in range(n)], "id long, a long, s string"))
+    e = Engine(spark)
+    for k, f in enumerate(frames, start=1):
+        e.bind_frame(TableDef(k, f"t{k}", [ColumnDef(1, "id", INT64), ColumnDef(2, "a", INT64, True), ColumnDef(3, "s", TEXT)]), f)
+    for sql in (f"SELECT x.id, y.id FROM t1 x JOIN t2 y ON x.a {op} y.a AND x.id != y.id", f"SELECT x.id, y.id FROM t1 x JOIN t2 y ON y.s {op} x.s"):
+        monkeypatch.setattr(inequality, "BROADCAST_BYTES", 10 << 20)
+        want = sorted(rows(e, sql))
+        monkeypatch.setattr(inequality, "BROADCAST_BYTES", -1)
+        q = e.query(sql)
+        assert sorted(q.collect()) == want
+        assert "NestedLoop" not in q.frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settings_are_the_engines_own(spark):
+    key = "spark.sql.caseSensitive"
+    before = spark.conf.get(key)
+    e = Engine(spark)
+    assert spark.conf.get(key) == before and e.spark.conf.get(key) == "true" and Engine(e.spark).spark is e.spark
+
+
+def test_external_numbers_are_checked(spark):
+    table = TableDef(1, "t", [ColumnDef(1, "u", ValueType(Physical.UINT64)), ColumnDef(2, "i", INT64)])
+    for kind in ("decimal(10,2)", "decimal(30,0)"):
+        with pytest.raises(SchemaError):
+            Engine(spark).bind_frame(table, spark.range(1).select(F.col("id").cast(kind).alias("u"), F.col("id").alias("i")))
+    for value in ("-3", str(U64_MAX + 1)):
+        odd = spark.range(1).select(F.lit(value).cast("decimal(20,0)").alias("u"), F.col("id").alias("i"))
+        e = Engine(spark)
+        e.bind_frame(table, odd)
+        with pytest.raises(Exception, match="isn't UINT64"):
+            rows(e, "SELECT u FROM t")
+        with pytest.raises(SchemaError):
+            Engine(spark).bind_frame(table, odd, verify=True)
+    with pytest.raises(SchemaError, match="not NULL"):
+        Engine(spark).bind_frame(table, spark.range(1).select(F.lit(1).cast("decimal(20,0)").alias("u"), F.lit(None).cast("long").alias("i")), verify=True)
+    e = Engine(spark)
+    e.bind_frame(table, spark.range(1).select(F.lit(str(U64_MAX)).cast("decimal(20,0)").alias("u"), F.col("id").alias("i")), verify=True)
+    assert rows(e, "SELECT u FROM t") == [(U64_MAX,)]
+
+
 def test_tables(spark, tmp_path):
     e = Engine(spark)
     a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
