@@ -4,9 +4,10 @@ A document is the set of its distinct word shingles, hashed to 64 bits.  The
 hash's leading part picks one of REGISTERS buckets; a bucket keeps the smallest
 remainder as its count of leading zeros and the MANTISSA bits that follow.  An
 empty bucket is filled with the smallest of the set under a hash of its own, so
-that small sets fill all buckets too.  Bands of ROWS registers that agree bring
-candidates together: with 48 bands of 6, a pair of similarity 0.8 is missed with
-probability (1 - 0.8**6)**48 < 5e-7.
+that small sets fill all buckets too.  Bands of registers that agree bring
+candidates together.  A band is as long as misses allow: of r registers each,
+a pair of similarity s is missed with probability (1 - s**r)**(REGISTERS / r),
+and that is at most MISSED at the wanted similarity (48 bands of 6 for 0.8).
 
 Documents with equal sets are one node from the start.  In a shared band bucket
 every node is compared with the bucket's smallest, so the comparisons are linear
@@ -37,15 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.components import components
-from larkspur.llm.runtime import Scratch, Shield, lowered_words, ship
+from larkspur.llm.runtime import BROADCAST_ROWS, Scratch, Shield, join_told, lowered_words, ship
 
-BANDS, ROWS = 48, 6
-REGISTERS = BANDS * ROWS
+REGISTERS = 288
 MANTISSA = 10
-#: Candidates estimated below the threshold less this go no further: 5 standard errors of REGISTERS trials at 0.8.
-SLACK = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
-#: Nodes whose numbers are broadcast to pick their rows; with more, the join is left to Spark.
-BROADCAST_NODES = 500_000
+#: Share of pairs at exactly the wanted similarity that agree in no band.
+MISSED = 5e-7
 #: Word hashes that a worker remembers; at the bound it starts afresh.
 REMEMBERED = 100_000
 
@@ -113,11 +111,26 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return (((zeros + 1) << MANTISSA) | mantissa).astype(np.uint16)
 
 
-def band_keys(reg: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Registers of a band for this similarity; below 5 percent even single ones miss too many pairs."""
+    s = percent / 100
+    for rows in range(REGISTERS, 0, -1):
+        if REGISTERS % rows == 0 and (1 - s**rows) ** (REGISTERS // rows) <= MISSED:
+            return rows
+    raise ValueError(f"a similarity of {percent} percent is too low for {REGISTERS} registers")
+
+
+def slack(percent: int) -> float:
+    """Candidates estimated below the threshold less this go no further: 5 standard errors of REGISTERS trials."""
+    s = percent / 100
+    return 5 * (s * (1 - s) / REGISTERS) ** 0.5
+
+
+def band_keys(reg: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key of each band's number and registers."""
-    r = reg.reshape(BANDS, ROWS).astype(np.uint64)
-    k = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+    r = reg.reshape(-1, rows).astype(np.uint64)
+    k = np.arange(1, len(r) + 1, dtype=np.uint64)
+    for i in range(rows):
         k = _mixed(k * _ODD + r[:, i])
     return k.astype(np.int64)
 
@@ -139,7 +152,7 @@ def estimate(reg_a: np.ndarray, reg_b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return ((reg_a == reg_b).mean(axis=1) - c) / (1 - c)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], text: str, width: int, rows: int) -> Iterator[pa.RecordBatch]:
     ids = count(TaskContext.get().partitionId() << 33)
     for b in batches:
         rid, n, digest, reg, keys = [], [], [], [], []
@@ -151,7 +164,7 @@ def _signed(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterato
                 r = registers(s)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 reg.append(r.tobytes())
-                keys.append(band_keys(r))
+                keys.append(band_keys(r, rows))
             else:
                 digest.append(None)
                 reg.append(None)
@@ -170,7 +183,7 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         n_a, n_b = d["n_a"].to_numpy(), d["n_b"].to_numpy()
         reg = [np.frombuffer(b"".join(d[k].to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("reg_a", "reg_b")]
         fit = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-        near = pa.array(np.flatnonzero(fit & (estimate(*reg, n_a, n_b) >= percent / 100 - SLACK)))
+        near = pa.array(np.flatnonzero(fit & (estimate(*reg, n_a, n_b) >= percent / 100 - slack(percent))))
         yield pa.RecordBatch.from_arrays([d["a"].take(near), d["b"].take(near)], names=["a", "b"])
 
 
@@ -233,37 +246,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the row's own, and exactly one row of each component is ``survivor`` (the
     smallest id, nulls last; of repeated ids the first row read).
 
-    Null and empty texts and texts without words have an empty set and are
-    linked with nothing.  Null ids don't count as smallest unless all are null.
+    ``percent`` is 5 to 100; lower ones are refused.  Null and empty texts and
+    texts without words have an empty set and are linked with nothing.  Null ids don't count as smallest unless all are null.
     Columns named as an output are replaced.  An empty table stays empty.
     """
-    spark = docs.sparkSession
+    spark, rows = docs.sparkSession, band_rows(percent)
     ship(spark)
     own = Scratch(spark, "neardup")
     shield = Shield(docs)
     docs, doc_id, text = shield.inner, shield(doc_id), shield(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("_rid", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType()), T.StructField("_reg", T.BinaryType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
-    signed = own.keep(docs.mapInArrow(lambda it: _signed(it, text, width), schema), "signed")
+    signed = own.keep(docs.mapInArrow(lambda it: _signed(it, text, width, rows), schema), "signed")
 
     # Equal sets are one node, named by its smallest row.
     digests = signed.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.min("_rid").alias("_node"), F.count(F.lit(1)).alias("_rows"))
-    own.keep(digests.where(F.col("_rows") > 1).select("_digest", "_node"), "copies")
-    copies = spark.read.parquet(f"{own.root}/copies")
-    member = signed.select("_rid", "_digest", F.col(doc_id).alias("_id")).join(copies, "_digest", "left")
+    copies = own.keep(digests.where(F.col("_rows") > 1), "copies")
+    member = join_told(signed.select("_rid", "_digest", F.col(doc_id).alias("_id")), copies, "_digest", "_rows", "left", own, "often")
     member = own.keep(member.select("_rid", "_id", F.coalesce("_node", "_rid").alias("node")), "member")
     later = member.where(F.col("_rid") != F.col("node")).select("_rid")
     nodes = signed.join(later, "_rid", "left_anti")
 
     banded = nodes.select(F.col("_rid").alias("node"), F.explode("_keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("of")).where(F.col("of") > 1)
-    shared = own.keep(banded.join(shared, "key").select("key", "node", "low", "of"), "shared")
+    shared = own.keep(shared, "buckets")
+    shared = own.keep(join_told(banded, shared, "key", "of", "inner", own, "full").select("key", "node", "low", "of"), "shared")
 
     texts = signed.select("_rid", F.col(text).alias("_text"))
 
     def sides(pairs: DataFrame, **columns: str) -> DataFrame:
         """Pairs with columns of both nodes, named <name>_a and <name>_b; only the nodes that occur are dealt out."""
         nodes = pairs.select(F.col("a").alias("_rid")).union(pairs.select(F.col("b").alias("_rid"))).distinct()
-        few = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+        few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
         used = signed.join(few, "_rid", "left_semi")
         for side in ("a", "b"):
             pairs = pairs.join(used.select(F.col("_rid").alias(side), *[F.col(c).alias(f"{k}_{side}") for k, c in columns.items()]), side)
@@ -280,9 +293,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def mixed(label: DataFrame, least: int) -> DataFrame:
         """Rows of the shared buckets of ``least`` or more nodes that are of more than one component, with their component."""
-        now = shared.where(F.col("of") >= least).join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        apart = now.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.max(F.struct("node", "label")).alias("high")).where(F.col("_l") != F.col("_h"))
-        return now.join(apart.select("key", F.col("high.node").alias("high"), F.col("high.label").alias("high_label")), "key")
+        now = own.keep(shared.where(F.col("of") >= least).join(label, "node", "left").select("key", "node", "of", F.coalesce("label", "node").alias("label")), f"now{least}")
+        apart = now.groupBy("key", "of").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.max(F.struct("node", "label")).alias("high")).where(F.col("_l") != F.col("_h"))
+        apart = own.keep(apart.select("key", "of", F.col("high.node").alias("high"), F.col("high.label").alias("high_label")), f"apart{least}")
+        return join_told(now.drop("of"), apart, "key", "of", "inner", own, f"full{least}").drop("of")
 
     rest = own.keep(mixed(label, 3), "mixed1")
     if not rest.isEmpty():
@@ -290,7 +304,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         label = components(links, own, "c2")
         rest = own.keep(mixed(label, 4).select("node", "label").distinct(), "mixed2")
         if not rest.isEmpty():
-            few = F.broadcast(rest) if rest.count() <= BROADCAST_NODES else rest
+            few = F.broadcast(rest) if rest.count() <= BROADCAST_ROWS else rest
             told = few.join(texts.withColumnRenamed("_rid", "node"), "node")
             links = links.union(confirmed(prefix_pairs(told, width, percent, own), "rest"))
             label = components(links, own, "c3")

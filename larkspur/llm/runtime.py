@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.storage import shared_dir
+
 #: A word: a longest run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,6 +22,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_ROWS = 1_024
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Rows of a side that is broadcast; with more, the join is left to Spark.
+BROADCAST_ROWS = 500_000
+#: Rows of a key beyond which it is joined by broadcast, so that no task gets them all.
+HEAVY = 256
+
 _SHIPPED: set[str] = set()
 
 
@@ -27,22 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Unset, a local session (as in tests) gets a folder of its own; a cluster
-    without the setting is refused, since its machines share nothing known.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join("/tmp/checkpoints", f"larkspur-{os.getpid()}")
-    return f"file://{own}"
-
-
 class Scratch:
     """Intermediate tables of one query, as Parquet in the shared folder.
 
@@ -79,6 +70,25 @@ class Scratch:
             pass
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows, counted, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join_told(rows: DataFrame, told: DataFrame, key: str, size: str, how: str, own: Scratch, name: str) -> DataFrame:
+    """``rows`` with what ``told`` (a row for each key, with the number ``size`` of its rows) says of their key.
+
+    Keys of more than HEAVY rows are few, as each has that many rows; they are
+    joined by broadcast where counted so, and only the others are dealt out by key.
+    """
+    heavy = own.keep(told.where(F.col(size) > HEAVY), name)
+    n = heavy.count()
+    if not n or n > BROADCAST_ROWS:  # Spark splits large partitions of such a join
+        return rows.join(told, key, how)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(told.where(F.col(size) <= HEAVY), key, how)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
