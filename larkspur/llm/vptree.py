@@ -8,9 +8,14 @@ by the triangle inequality a query whose k-th best distance is r skips the far
 side if it lies more than r from the boundary.  The pruning radius is r divided
 by ``factor``: one restores exact search, more than one prunes more.
 
-All queries descend a tree together, as arrays.  Shards are dealt by a hash of
-the vector's id, so their size is bounded by their number; queries come in
-blocks of bounded size, and each block meets each shard once.
+Shards are dealt by the top of one tree, built on the driver over a bounded
+sample of the vectors: its leaves hold vectors that are close, and a leaf of
+many rows (a vector that a third of them share, too) is split by a hash.  A
+query's k-th best among the sample bounds how far its neighbours can be, and by
+the same inequality it is sent to those leaves only that can hold one.  Every
+vector is indexed; the sample only decides where.  Queries of a leaf come in
+blocks as large as shards, and a shard's tree is built once for each block; all
+queries of a block descend it together, as arrays.
 """
 
 from __future__ import annotations
@@ -19,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.runtime import Scratch, ship
 
 #: Vectors of a leaf.
 LEAF = 128
-#: Vectors of a shard and queries of a block, about.
-SHARD_ROWS, BLOCK_ROWS = 20_000, 4_000
+#: Vectors of a shard or queries of a block, about, and their components at most.
+SHARD_ROWS, SHARD_VALUES = 20_000, 4_000_000
+#: Vectors that the tree over the shards is built on, and of these the least for a shard.
+SAMPLE, LEAF_SAMPLE = 2_048, 8
 #: The k-th distance over the pruning radius, in the registered search.
 FACTOR = 1.0
 
@@ -204,40 +211,160 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), x.alias("x"))
 
 
+class Space:
+    """All vectors of one size: how they are lifted, and the tree over their shards' leaves."""
+
+    def __init__(self, largest: float, ids: np.ndarray, x: np.ndarray, leaves: int):
+        self.largest, self.ids, self.x, self.leaves = largest, ids, x, 0
+        self.root = self._split(self.lift(np.unique(x, axis=0)), leaves, np.random.default_rng(len(x)))
+
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x, np.sqrt(np.maximum(self.largest**2 - (x * x).sum(axis=1), 0))])
+
+    def aim(self, q: np.ndarray) -> np.ndarray:
+        return np.column_stack([q * (self.largest / np.sqrt((q * q).sum(axis=1)))[:, None], np.zeros(len(q))])
+
+    def _split(self, x: np.ndarray, leaves: int, rng: np.random.Generator):
+        """A leaf's number, or vantage point, boundary, and the parts nearer than that and not nearer."""
+        if leaves > 1 and len(x) >= 2 * LEAF_SAMPLE:
+            v = x[rng.integers(len(x))]
+            d = _distances(x, v)
+            bound = np.median(d)
+            if not (d < bound).any():
+                bound = d[d > bound].min(initial=np.inf)
+            if bound < np.inf:
+                return v, bound, self._split(x[d < bound], leaves // 2, rng), self._split(x[d >= bound], leaves - leaves // 2, rng)
+        self.leaves += 1
+        return self.leaves - 1
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x), np.int32)
+
+        def go(node, x: np.ndarray, at: np.ndarray) -> None:
+            if isinstance(node, int):
+                out[at] = node
+                return
+            v, bound, inner, outer = node
+            near = _distances(x, v) < bound
+            go(inner, x[near], at[near])
+            go(outer, x[~near], at[~near])
+
+        go(self.root, self.lift(x), np.arange(len(x)))
+        return out
+
+    def radius(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> np.ndarray:
+        """Distance within which each query has k rows, so far as the sample tells."""
+        s = q @ self.x.T
+        s[q_ids[:, None] == self.ids[None, :]] = -np.inf
+        if s.shape[1] < k:
+            return np.full(len(q), np.inf)
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        return np.sqrt(np.maximum(2 * self.largest**2 - 2 * self.largest * kth / np.sqrt((q * q).sum(axis=1)), 0))
+
+    def reached(self, q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, leaf) of all leaves that may hold a row within the radius."""
+        found: list[tuple[np.ndarray, int]] = []
+        # Far more than distances round by.
+        radius = radius + 1e-6 * self.largest
+
+        def go(node, aim: np.ndarray, r: np.ndarray, at: np.ndarray) -> None:
+            if not len(at):
+                return
+            if isinstance(node, int):
+                found.append((at, node))
+                return
+            v, bound, inner, outer = node
+            d = _distances(aim, v)
+            for side, gap in ((inner, d - bound), (outer, bound - d)):
+                on = gap <= r
+                go(side, aim[on], r[on], at[on])
+
+        go(self.root, self.aim(q), radius, np.arange(len(q)))
+        return np.concatenate([at for at, _ in found]), np.concatenate([np.full(len(at), leaf, np.int32) for at, leaf in found])
+
+
+def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - v) ** 2).sum(axis=1))
+
+
+_PLACED = "dim int, leaf int, id long, x array<double>"
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size, ids and vectors of a batch's rows (id, x), a size at a time."""
+    sizes = batch.column("x").value_lengths().to_numpy()
+    for dim in np.unique(sizes):
+        part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+        yield int(dim), part.column("id").to_numpy(), _matrix(part.column("x"), int(dim))
+
+
+def _placed(dim: int, leaf: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * dim, pa.int32()), pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), dim, np.int32)), pa.array(leaf, pa.int32()), pa.array(ids), lists], names=["dim", "leaf", "id", "x"])
+
+
+def rows_of(dim: int) -> int:
+    """Rows of a shard or block of vectors of this size."""
+    return max(256, min(SHARD_ROWS, SHARD_VALUES // dim))
+
+
 def nearest(vectors: DataFrame, is_query, k: int, factor: float = FACTOR, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: each query's k rows of largest inner product, ties to the smaller id.
 
     ``is_query`` is a condition on column ``id``.  A row is no neighbour of its
     own id.  Null, empty, zero and non-finite vectors and null ids take no part;
-    vectors of different dimensions are refused.  Repeated rows are one query, but
-    candidates one by one.  An empty table gives an empty result.
+    a query's candidates are the vectors of its own size.  Repeated rows are one
+    query, but candidates one by one.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
     own = Scratch(spark, "vptree")
-    rows = own.keep(usable(vectors, vec_id, embedding), "rows")
+    rows = usable(vectors, vec_id, embedding)
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    n, queries, dim, most_dim, largest = rows.agg(F.count(F.lit(1)), F.sum(is_query.cast("long")), F.min(F.size("x")), F.max(F.size("x")), F.max(norm)).first()
-    if dim != most_dim:
-        raise ValueError(f"vectors of {dim} and {most_dim} components")
-    shards, blocks = -(-max(n, 1) // SHARD_ROWS), -(-max(queries or 0, 1) // BLOCK_ROWS)
-    hashed = F.shiftrightunsigned(F.xxhash64("id"), 1)
-    q = rows.where(is_query).dropDuplicates(["id", "x"]).select((hashed % blocks).cast("int").alias("block"), "id", "x")
-    # Each block goes to each shard: (blocks x shards) tasks of bounded size.
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    c = rows.select((hashed % shards).cast("int").alias("shard"), "id", "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A row for each size of vectors.
+    facts = {r["dim"]: (r["n"], r["largest"]) for r in rows.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest")).collect()}
+    drawn: dict[int, list] = {dim: [] for dim in facts}
+    for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
+        drawn[len(r["x"])].append((r["id"], r["x"]))
+    spaces = {dim: Space(largest, np.array([i for i, _ in drawn[dim]], np.int64), np.array([x for _, x in drawn[dim]], np.float64).reshape(-1, dim), -(-n // rows_of(dim))) for dim, (n, largest) in facts.items()}
+    held = spark.sparkContext.broadcast(spaces)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, ids, x in _by_size(b):
+                yield _placed(dim, held.value[dim].leaf_of(x), ids, x)
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, ids, x in _by_size(b):
+                space = held.value[dim]
+                who, leaf = space.reached(x, space.radius(x, ids, k) / factor)
+                yield _placed(dim, leaf, ids[who], x[who])
+
+    placed = own.keep(rows.mapInArrow(place, _PLACED), "placed")
+    aimed = own.keep(rows.where(is_query).dropDuplicates(["id", "x"]).mapInArrow(aim, _PLACED), "aimed")
+    # A row for each leaf that a query reaches: at most SAMPLE / LEAF_SAMPLE and one for each size.
+    leaves = placed.groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("n")).join(aimed.groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("q")), ["dim", "leaf"]).collect()
+    if not leaves:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    plan = F.broadcast(spark.createDataFrame([(r["dim"], r["leaf"], -(-r["n"] // rows_of(r["dim"])), -(-r["q"] // rows_of(r["dim"]))) for r in leaves], "dim int, leaf int, shards int, blocks int"))
+    dealt = lambda of, *by: F.pmod(F.xxhash64(*by), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    # Each block of a leaf's queries meets each of its shards: tasks of bounded size.
+    c = placed.join(plan, ["dim", "leaf"]).withColumn("shard", dealt("shards", "id", F.monotonically_increasing_id())).withColumn("block", every("blocks"))
+    q = aimed.join(plan, ["dim", "leaf"]).withColumn("block", dealt("blocks", "id", "x")).withColumn("shard", every("shards"))
+    group = ["dim", "leaf", "shard", "block"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
+            dim = left.column("dim")[0].as_py()
             q_ids, qx = left.column("id").to_numpy(), _matrix(left.column("x").combine_chunks(), dim)
             ids, x = right.column("id").to_numpy(), _matrix(right.column("x").combine_chunks(), dim)
-            who, hit, score = search_shard(x, ids, qx, q_ids, k, largest, factor)
+            who, hit, score = search_shard(x, ids, qx, q_ids, k, held.value[dim].largest, factor)
             out = {"query_id": q_ids[who], "vec_id": hit, "score": score}
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    found = q.groupBy("block", "shard").cogroup(c.groupBy("block", "shard")).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k)
-    # A query has at most shards x k rows here.
-    ranked = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "r"))
-    return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("r.v").alias("vec_id"), (-F.col("r.s")).alias("score"))
+    found = q.select(*group, "id", "x").groupBy(group).cogroup(c.select(*group, "id", "x").groupBy(group)).applyInArrow(search, "query_id long, vec_id long, score double")
+    place_ = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", place_).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
