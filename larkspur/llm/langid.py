@@ -6,9 +6,13 @@ in the language's text.  The language whose text parses it into the fewest
 phrases, normalised by the log of that text's length, wins.
 
 Symbols are lower-cased letters; every run of other characters is one separator.
-Many texts are parsed in step: a text is cut into blocks of BLOCK symbols (a
-phrase never crosses a block's end, alike for all languages), a block is a lane,
-and one table look-up per symbol moves all lanes of a language.
+Many texts are parsed in step: a text is cut into blocks of BLOCK symbols, a
+block is a lane, and one table look-up per symbol moves all lanes of a language.
+A block goes on where the one before it ends, so that a text's phrases are those
+of one parse: blocks are parsed at first as if a phrase began with each, then
+again from the state that the block before ended in, wherever that differs.
+Parses that begin apart soon meet; where they don't within ROUNDS, as in texts
+that repeat themselves, the rest of the text is parsed symbol by symbol.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ SAMPLE_SYMBOLS = 30_000
 SAMPLE_DOCS, SAMPLE_DOC_CHARS = 64, 8_000
 #: Languages whose table of counts is broadcast.
 MOST_LANGUAGES = 10_000
-#: Symbols of a block.
-BLOCK = 1_024
+#: Symbols of a block, and how often blocks are parsed together.
+BLOCK, ROUNDS = 1_024, 4
 #: Characters parsed at once by a worker.
 AT_ONCE = 1_000_000
 #: Symbols: separator, a letter of no sample, and the samples' characters by frequency.
@@ -150,10 +154,13 @@ def split_rare(lanes: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, list[
     return np.where(high, lanes.dtype.type(OTHER), lanes), steps
 
 
-def phrases(a: Automaton, lanes: np.ndarray, active: np.ndarray, rare: list[tuple[np.ndarray, np.ndarray] | None]) -> np.ndarray:
-    """Phrases of each lane; ``lanes`` is (step, lane), ``active`` the number of lanes that go on at each step, ``rare`` as of :func:`split_rare`."""
-    at = np.zeros(lanes.shape[1], np.int32)
-    count = np.ones(lanes.shape[1], np.int32)
+def phrases(a: Automaton, lanes: np.ndarray, active: np.ndarray, rare: list[tuple[np.ndarray, np.ndarray] | None], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that begin after each lane's first symbol or with it, and the last entries; ``start`` are the entries before.
+
+    ``lanes`` is (step, lane), ``active`` the number of lanes that go on at each step, ``rare`` as of :func:`split_rare`.
+    """
+    at = start.copy()
+    count = np.zeros(lanes.shape[1], np.int32)
     for row, n, high in zip(lanes, active, rare, strict=True):
         x = at[:n]
         x >>= 1
@@ -163,9 +170,72 @@ def phrases(a: Automaton, lanes: np.ndarray, active: np.ndarray, rare: list[tupl
         if high is not None:
             x[high[0]] = to
         count[:n] += x & 1
+    return count, at
+
+
+def follow(a: Automaton, codes: np.ndarray, entry: int) -> int:
+    """Phrases that begin in ``codes``, one symbol at a time."""
+    table, at, count = memoryview(a.table), entry >> 1, 0
+    for c in codes.tolist():
+        entry = table[at + c] if c < ALPHABET else int(a.step(np.array([at]), np.array([c]))[0])
+        count += entry & 1
+        at = entry >> 1
     return count
 
 
+class Lanes:
+    """Blocks of texts side by side, the longest first."""
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray):
+        starts = np.cumsum(lengths) - lengths
+        blocks = -(-lengths // BLOCK)
+        text = np.repeat(np.arange(len(lengths)), blocks)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = starts[text] + nth * BLOCK
+        size = np.minimum(BLOCK, starts[text] + lengths[text] - begin)
+        order = np.argsort(-size, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.codes, self.ends = codes, starts + lengths
+        self.text, self.nth, self.begin, self.size = text[order], nth[order], begin[order], size[order]
+        #: The lane of the block before, and which lanes have one.
+        self.before, self.later = place[np.maximum(order - 1, 0)], np.flatnonzero(nth[order] > 0)
+        steps = int(self.size[0]) if len(order) else 0
+        self.active = np.searchsorted(-self.size, -np.arange(steps), side="left")
+        padded = np.concatenate([codes, np.zeros(BLOCK, codes.dtype)])
+        self.raw = padded[self.begin[None, :] + np.arange(steps)[:, None]] if steps else np.zeros((0, 0), codes.dtype)
+        self.symbols, self.rare = split_rare(self.raw, self.active)
+
+    def count(self, a: Automaton) -> np.ndarray:
+        """Phrases of each lane, those that began in an earlier one not counted."""
+        used = np.zeros(len(self.text), np.int32)
+        count, end = phrases(a, self.symbols, self.active, self.rare, used)
+        count[self.nth == 0] += 1
+        redo = self.later
+        for _ in range(ROUNDS):
+            redo = self.later[end[self.before[self.later]] >> 1 != used[self.later] >> 1]
+            if not len(redo):
+                return count
+            used[redo] = end[self.before[redo]]
+            active = np.searchsorted(redo, self.active)
+            active = active[: int(self.size[redo[0]])]
+            lanes = self.raw[: len(active), redo]
+            count[redo], end[redo] = phrases(a, *_split(lanes, active), used[redo])
+        redo = self.later[end[self.before[self.later]] >> 1 != used[self.later] >> 1]
+        for text in np.unique(self.text[redo]):
+            mine = redo[self.text[redo] == text]
+            first = mine[self.nth[mine].argmin()]
+            rest = np.flatnonzero((self.text == text) & (self.nth >= self.nth[first]))
+            count[rest] = 0
+            count[first] = follow(a, self.codes[self.begin[first] : self.ends[text]], int(end[self.before[first]]))
+        return count
+
+
+def _split(lanes: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray] | None]]:
+    symbols_, rare = split_rare(lanes, active)
+    return symbols_, active, rare
+
+
 class Languages:
     """The fitted model: a table per language."""
 
@@ -181,22 +251,10 @@ class Languages:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases by text and language, and which texts have letters."""
         codes, lengths = symbols(texts, self.table)
-        starts = np.cumsum(lengths) - lengths
-        blocks = -(-lengths // BLOCK)
-        text_of = np.repeat(np.arange(len(texts)), blocks)
-        nth = np.arange(len(text_of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = starts[text_of] + nth * BLOCK
-        size = np.minimum(BLOCK, starts[text_of] + lengths[text_of] - begin)
-        order = np.argsort(-size, kind="stable")
-        size, begin, text_of = size[order], begin[order], text_of[order]
-        steps = int(size[0]) if len(size) else 0
-        active = np.searchsorted(-size, -np.arange(steps), side="left")
-        padded = np.concatenate([codes, np.zeros(BLOCK, codes.dtype)])
-        lanes = padded[begin[None, :] + np.arange(steps)[:, None]] if steps else np.zeros((0, 0), codes.dtype)
-        lanes, rare = split_rare(lanes, active)
+        lanes = Lanes(codes, lengths)
         out = np.zeros((len(texts), len(self.names)))
         for k, t in enumerate(self.tables):
-            np.add.at(out[:, k], text_of, phrases(t, lanes, active, rare) if steps else 0)
+            np.add.at(out[:, k], lanes.text, lanes.count(t))
         has_letter = np.zeros(len(texts), bool)
         if len(codes):
             where = np.repeat(np.arange(len(texts)), lengths)[self.letter[codes]]
@@ -274,10 +332,11 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
     point; repeated rows are alike; an empty table stays empty.
     """
     ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(samples)
 
     @arrow_udf("struct<lang:string,score:double>")
     def found(texts: pa.Array) -> pa.Array:
-        model = languages(samples)
+        model = languages(held.value)
         names: list[str] = []
         scores: list[np.ndarray] = [np.zeros(0)]
         for part in portions(t.as_py() for t in texts):
