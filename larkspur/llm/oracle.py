@@ -42,4 +42,61 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": OP3, "op9_nearest": OP9}
+OP5 = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
+    md5(coalesce('=' || CAST(doc_id AS VARCHAR), '-') || chr(31) || coalesce('=' || md5(text), '-')) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, row_number() OVER (ORDER BY 2 * source_size / w, source NULLS LAST) AS nth, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s
+), l AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o
+), f AS (
+  SELECT min(nth) AS free, arg_min(level, nth) AS level FROM l WHERE cap / w >= level
+), t AS (
+  SELECT source, source_size, CASE WHEN f.free IS NULL OR nth < f.free THEN cap ELSE w * f.level END AS target FROM l, f
+), r AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, epochs * size + least(greatest(CAST(round(target) AS BIGINT) - epochs * source_size - upto, 0), size) AS taken FROM r
+"""
+
+#: Windows by brute force: any that shares enough shingles with an item to reach 0.8 is compared, at each start that a shared shingle or the document's end makes.
+OP10 = r"""
+WITH iw AS (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL
+), dw AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT item_id, row_number() OVER () AS item, least(len(w), 5) AS k, list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda a: array_to_string(list_slice(w, a, a + least(len(w), 5) - 1), ' ')) AS sh FROM iw WHERE len(w) > 0
+), widths AS (
+  SELECT DISTINCT k FROM i
+), d AS (
+  SELECT doc_id, row_number() OVER () AS doc, k, list_transform(range(1, len(w) - k + 2), lambda a: array_to_string(list_slice(w, a, a + k - 1), ' ')) AS sh FROM dw, widths WHERE len(w) >= k
+), ip AS (
+  SELECT item, k, unnest(list_distinct(sh)) AS h FROM i
+), dp AS (
+  SELECT doc, k, unnest(sh) AS h, unnest(range(0, len(sh))) AS p FROM d
+), hit AS (
+  SELECT doc, item, p, h FROM dp JOIN ip USING (k, h)
+), pairs AS (
+  SELECT doc, item, len(i.sh) AS m, least(len(i.sh), len(d.sh)) AS mw, len(d.sh) AS n FROM (SELECT doc, item FROM hit GROUP BY ALL) JOIN d USING (doc) JOIN i USING (item)
+), starts AS (
+  SELECT DISTINCT doc, item, m, mw, least(p, n - mw) AS start FROM hit JOIN pairs USING (doc, item) WHERE mw >= 0.8 * m - 1e-9
+), often AS (
+  SELECT item, h, count(*) AS c FROM (SELECT item, unnest(sh) AS h FROM i) GROUP BY ALL
+), shared AS (
+  SELECT doc, item, m, mw, start, h, count(*) AS c FROM starts JOIN hit USING (doc, item) WHERE p >= start AND p < start + mw GROUP BY ALL
+), common AS (
+  SELECT doc, item, m, mw, start, CAST(sum(least(shared.c, often.c)) AS BIGINT) AS k FROM shared JOIN often USING (item, h) GROUP BY ALL
+), best AS (
+  SELECT doc, item, k / (m + mw - k) AS similarity, CAST(start AS INTEGER) AS start_word, row_number() OVER (PARTITION BY doc, item ORDER BY k DESC, start) AS nth FROM common WHERE k * 1.8 >= 0.8 * (m + mw) - 1e-9
+)
+SELECT doc_id, item_id, start_word, similarity FROM best JOIN d USING (doc) JOIN i USING (item) WHERE nth = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": OP3, "op5_mix": OP5, "op9_nearest": OP9, "op10_decontaminate": OP10}

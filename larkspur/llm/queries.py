@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, htmlmain, langid, lm, mixing, neardup, quality, sharding, tokencount, vptree
-from larkspur.llm.runtime import crc32_mod, table, word_count
+from larkspur.llm.runtime import Scratch, crc32_mod, table, word_count
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 512
@@ -32,10 +32,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    out = quality.score_quality(docs, model)
-    return out.select("doc_id", "score", (F.col("score") >= KEEP).alias("keep"))
+    described = quality.describe(table(spark, sf_dir, "documents"))
+    model = quality.fit_described(described, table(spark, sf_dir, "labels"))
+    out = quality.score_described(described, model)
+    return out.select(F.col("id").alias("doc_id"), "score", (F.col("score") >= KEEP).alias("keep"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,16 +47,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    rows = docs.select("doc_id", "lang", "source", bytes_.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    tie = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    out = sharding.shard_rows(rows, ["lang", "source", "size"], tie, SHARDS)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    # Texts are read once; what is left of them is narrow.
+    rows = Scratch(spark, "op4").keep(docs.select("doc_id", "lang", "source", bytes_.alias("size"), crc.alias("text_crc32"), F.xxhash64("text", F.col("text").isNull()).alias("_text")), "rows")
+    out = sharding.shard_rows(rows, ["lang", "source", "size"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], SHARDS, together=[F.col("_text"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"))
-    out = mixing.mix(rows, mixing.random_key(F.col("doc_id"), F.col("_crc")))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixing.random_key(F.col("doc_id"), F.md5("text")).alias("_key"))
+    out = mixing.mix(Scratch(spark, "op5").keep(rows, "rows"), F.col("_key"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

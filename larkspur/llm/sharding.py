@@ -9,7 +9,10 @@ by their column statistics.
 The global rank needs no global sort: rows are counted by curve cell and by a
 hash bucket inside the cell, prefix sums over those counts give each bucket its
 first rank, and ranks inside a bucket come from a window.  Cells with many rows
-(a hot source, groups of copies) are spread over many buckets.
+(a hot source) are spread over many buckets by a hash.  Rows that are to stay
+together (copies of a text) share the least of their cells and their hash, so
+that they are neighbours; such a group is spread over buckets of its own once it
+is larger than one.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from larkspur.llm.runtime import Scratch, Shield, ship, shuffle_partitions
+from larkspur.llm.runtime import Scratch, Shield, join_told, ship, shuffle_partitions, small
 
 #: Bits of a dimension's level.
 BITS = 4
@@ -39,6 +42,8 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     """
     x = levels.astype(np.int64).T.copy()
     d = len(x)
+    if d == 1:
+        return x[0]
     for b in range(bits - 1, 0, -1):
         low = (1 << b) - 1
         for i in range(d):
@@ -75,33 +80,52 @@ def _string_cuts(df: DataFrame, column: str, share: Sequence[float]) -> list[str
     return [r["v"] for r in upto.where(crossed).select("v").collect()]
 
 
+def _number(column: Column, kind: str) -> Column | None:
+    """Values of a type that has an order among numbers, as such; None for strings."""
+    if kind == "string":
+        return None
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind.startswith("timestamp"):
+        return column.cast("timestamp").cast("double")
+    if kind == "boolean" or kind.startswith("decimal") or kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return column.cast("double")
+    raise ValueError(f"a dimension is a number, string, truth value, date or time, not {kind}")
+
+
 def levels(df: DataFrame, dimensions: Sequence[str], bits: int = BITS) -> list[Column]:
     """Quantised level of each dimension, null at 0: how many of the column's quantiles lie below the value."""
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
     kinds = dict(df.dtypes)
-    keys = [F.col(f"`{c}`") if kinds[c] == "string" else F.col(f"`{c}`").cast("double") for c in dimensions]
-    numbers = {i: k for i, k in enumerate(keys) if kinds[dimensions[i]] != "string"}
+    numbers = {i: n for i, c in enumerate(dimensions) if (n := _number(F.col(f"`{c}`"), kinds[c])) is not None}
     cuts = df.agg(F.lit(0), *[F.percentile_approx(k, share, ACCURACY).alias(str(i)) for i, k in numbers.items()]).first()
     out = []
-    for i, k in enumerate(keys):
-        bounds = sorted({float(b) for b in cuts[str(i)] or []}) if i in numbers else _string_cuts(df, dimensions[i], share)
+    for i, c in enumerate(dimensions):
+        k = numbers.get(i, F.col(f"`{c}`"))
+        # Values that are no number come after all others.
+        bounds = sorted({float(b) for b in cuts[str(i)] or [] if b == b}) if i in numbers else _string_cuts(df, c, share)
         level = sum((F.when(k >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
         out.append(F.when(k.isNull(), 0).otherwise(level).cast("int"))
     return out
 
 
-def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column], shards: int, bits: int = BITS) -> DataFrame:
+def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column], shards: int, bits: int = BITS, together: Sequence[Column] = ()) -> DataFrame:
     """``rows`` with columns ``shard`` (0 to shards-1) and ``slot`` (0, 1, ... inside the shard); counts differ by one at most.
 
     ``tie`` orders rows of one curve cell and should tell rows apart; rows
-    equal in all of it are interchangeable.  Nulls count as the lowest level;
-    an empty table stays empty.  Columns named ``shard`` or ``slot`` are replaced.
+    equal in all of it are interchangeable.  Rows equal in all of ``together``
+    are neighbours in the order, so that only an end of a shard parts them.
+    Dimensions are numbers, strings, truth values, dates or times; others are
+    refused.  Nulls count as the lowest level, NaN as the highest; an empty
+    table stays empty.  Columns named ``shard`` or ``slot`` are replaced.
     """
     spark = rows.sparkSession
     if len(dimensions) * bits > 24:
         raise ValueError("dimensions times bits is at most 24: the curve's cells are counted by one job")
     ship(spark)
-    shield = Shield(rows, _hash=F.xxhash64(*tie), **{f"_tie{i}": t for i, t in enumerate(tie)})
+    own = Scratch(spark, "sharding")
+    # Each row's place in its cell: of rows that stay together one, and then by what tells them apart.
+    shield = Shield(rows, _hash=F.xxhash64(*(together or tie)), _sub=F.shiftrightunsigned(F.xxhash64(F.lit(1), *tie), 33), **{f"_tie{i}": t for i, t in enumerate(tie)})
     rows, dimensions, tie = shield.inner, [shield(d) for d in dimensions], [F.col(f"_tie{i}") for i in range(len(tie))]
 
     @pandas_udf("long")
@@ -116,18 +140,34 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
     placed = rows.withColumn("_cell", curve(packed))
 
     # A bucket holds about an eighth of a shuffle partition's rows; a small cell is one bucket.
-    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    total = placed.count()
+    if together:
+        groups = placed.groupBy("_hash").agg(F.min("_cell").alias("_at"), F.max("_cell").alias("_to"), F.count(F.lit(1)).alias("_rows"))
+        groups = own.keep(groups, "groups")
+        cells = groups.groupBy(F.col("_at").alias("_cell")).agg(F.sum("_rows").alias("_n"))
+    else:
+        cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells = own.keep(cells, "cells")
+    total = cells.agg(F.sum("_n")).first()[0] or 0
     each = max(1, total // (8 * shuffle_partitions(spark)))
-    cells = cells.select("_cell", F.ceil(F.col("_n") / each).cast("long").alias("_of"))
-    place = F.shiftrightunsigned("_hash", 33)
-    split = placed.join(cells, "_cell").withColumn("_bucket", F.shiftright(place * F.col("_of"), 31)).drop("_of")
-    counts = split.groupBy("_cell", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    placed = placed.withColumn("_big", F.lit(0))
+    if together:
+        # Groups that lie in several cells or are larger than a bucket; the latter are few.
+        told = groups.where((F.col("_at") != F.col("_to")) | (F.col("_rows") > each)).select("_hash", "_at", "_rows")
+        placed = join_told(placed, own.keep(told, "told"), "_hash", "_rows", "left", own, "hot")
+        placed = placed.withColumn("_cell", F.coalesce("_at", "_cell")).withColumn("_big", F.when(F.col("_rows") > each, F.ceil(F.col("_rows") / each)).otherwise(0).cast("int")).drop("_at", "_rows")
+    placed = placed.join(small(cells.select("_cell", F.ceil(F.col("_n") / each).cast("long").alias("_of"))), "_cell")
+    split = placed.withColumn("_bucket", F.shiftright(F.shiftrightunsigned("_hash", 33) * F.col("_of"), 31)).drop("_of")
+    # A large group has buckets of its own, after its neighbours' one.
+    split = split.withColumn("_own", F.when(F.col("_big") > 0, F.col("_hash"))).withColumn("_part", F.shiftright(F.col("_sub") * F.col("_big"), 31))
+    bucket = ["_cell", "_bucket", "_own", "_part"]
+    counts = split.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
     # At most one row of counts per eight of a partition's rows: a few bytes each, whatever the texts.
-    first = counts.select("_cell", "_bucket", (F.sum("_n").over(Window.orderBy("_cell", "_bucket")) - F.col("_n")).alias("_first"))
-    first = Scratch(spark, "sharding").keep(first, "first")
-    within = Window.partitionBy("_cell", "_bucket").orderBy(F.shiftrightunsigned("_hash", 33), *tie)
-    ranked = split.withColumn("_rank", F.row_number().over(within) - 1).join(first, ["_cell", "_bucket"])
+    order = Window.orderBy("_cell", "_bucket", F.col("_own").asc_nulls_first(), "_part")
+    first = counts.select(*[F.col(c).alias(f"{c}_") for c in bucket], (F.sum("_n").over(order) - F.col("_n")).alias("_first"))
+    first = small(own.keep(first, "first"))
+    within = Window.partitionBy(bucket).orderBy("_hash", "_sub", *tie)
+    ranked = split.withColumn("_rank", F.row_number().over(within) - 1)
+    ranked = ranked.join(first, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in bucket])
     rank = F.col("_rank") + F.col("_first")
     # Shards of q+1 rows first, then of q.
     q, more = divmod(total, shards)
@@ -137,6 +177,9 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
     return shield.restore(ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")), "shard", "slot")
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder of files per shard, in slot order inside, so that file statistics prune by every dimension."""
-    sharded.repartition(F.col("shard")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str, files: int) -> None:
+    """A folder for each shard, with about ``files`` files in all, each a run of slots in their order, so that file statistics prune by every dimension.
+
+    Runs are cut by shard and slot, which no two rows share, so that no file gets more than its part whatever the rows.
+    """
+    sharded.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -69,15 +69,14 @@ def test_phrases_match_definition():
     rng = random.Random(5)
     samples = (("a", prose(rng, 200)), ("b", prose(rng, 200, "le la de un des que é".split())))
     model = langid.Languages(samples)
-    texts = [prose(rng, 20), "zzz qqq", "é" * 10, "the of and " * 300]
+    # Longer than a block, some so that parses from different places never meet.
+    texts = [prose(rng, 20), "zzz qqq", "é" * 10, "the of and " * 300, "e" * 20_000, "ab" * 5_000 + prose(rng, 900), "", prose(rng, 2_000), samples[0][1] * 9, "é" * langid.BLOCK, "at" * 7_001]
     h, _ = model.entropies(texts)
     sign = lambda s: "".join(map(chr, langid.symbols([s], model.table)[0]))
     for i, t in enumerate(texts):
         s = sign(t)
-        parts = [s[k : k + langid.BLOCK] for k in range(0, len(s), langid.BLOCK)]
-        for k, (_, train) in enumerate(samples):
-            want = sum(phrases_by_hand(sign(train), p) for p in parts) * model.bits[k] / len(s)
-            assert h[i, k] == pytest.approx(want)
+        for k, (_, train) in enumerate(samples if s else ()):
+            assert h[i, k] == pytest.approx(phrases_by_hand(sign(train), s) * model.bits[k] / len(s))
 
 
 def test_phrases_of_many_letters():
@@ -93,9 +92,8 @@ def test_phrases_of_many_letters():
     of = lambda s: "".join(map(chr, langid.symbols([s], model.table)[0]))
     for i, t in enumerate(texts):
         s = of(t)
-        parts = [s[k : k + langid.BLOCK] for k in range(0, len(s), langid.BLOCK)]
         for k, (_, train) in enumerate(samples):
-            assert h[i, k] == pytest.approx(sum(phrases_by_hand(of(train), p) for p in parts) * model.bits[k] / len(s))
+            assert h[i, k] == pytest.approx(phrases_by_hand(of(train), s) * model.bits[k] / len(s))
 
 
 def test_language_edges(odd, none):
@@ -197,6 +195,24 @@ def test_prefix_pairs_lose_no_link(spark):
     assert links and links <= got
 
 
+@pytest.mark.parametrize("percent", [30, 50, 90, 100])
+def test_near_duplicates_at_any_similarity(spark, percent):
+    """Pairs at and about the wanted similarity, whatever it is: as comparing all sets has it."""
+    rng = random.Random(percent)
+    rows = []
+    for i in range(60):
+        base = [f"w{i}x{k}" for k in range(60)]
+        rows.append((2 * i, " ".join(base)))
+        share = min(1, 2 * (percent / 100 + rng.uniform(-0.05, 0.05)) / (1 + percent / 100))
+        kept = round(share * 60)
+        rows.append((2 * i + 1, " ".join([*base[:kept], *(f"z{i}x{k}" for k in range(60 - kept))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, width=2, percent=percent).collect()}
+    assert [got[d] for d, _ in rows] == components_by_hand(rows, 2, percent) and any(d != c for d, _, c in got.values())
+    with pytest.raises(ValueError, match="too low"):
+        neardup.near_duplicates(df, percent=3)
+
+
 def test_register_estimate():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8, 0.95):
@@ -234,6 +250,61 @@ def test_sharding_edges(odd, none):
     assert sharding.shard_rows(none, ["lang", "source", "n_chars"], tie, 7).count() == 0
 
 
+def test_sharding_by_brute_force(spark):
+    """Places by levels, curve, text and id, all sorted at once; groups of copies of any size stay together."""
+    rng = random.Random(19)
+    rows = [(i, f"l{rng.randrange(3)}", f"s{rng.randrange(5)}", rng.randrange(900), f"t{rng.choice([0, 0, 0, 1, rng.randrange(2, 300)])}") for i in range(1_500)]
+    df = spark.createDataFrame(rows, "id long, lang string, source string, size long, text string")
+    dims = ["lang", "source", "size"]
+    got = sorted(sharding.shard_rows(df, dims, [F.col("id")], 7, together=[F.col("text")]).collect(), key=lambda r: (r.shard, r.slot))
+    level = {r.id: [r.a, r.b, r.c] for r in df.select("id", *[x.alias(k) for k, x in zip("abc", sharding.levels(df, dims), strict=True)]).collect()}
+    cell = {i: int(sharding.hilbert_index(np.array([v]), sharding.BITS)[0]) for i, v in level.items()}
+    least = {}
+    for r in rows:
+        least[r[4]] = min(least.get(r[4], 1 << 40), cell[r[0]])
+    # Texts come in the order of their least cells, and a text's rows are together.
+    order = [r.text for r in got]
+    runs = [t for t, before in zip(order, [None, *order], strict=False) if t != before]
+    assert len(runs) == len(set(runs)) and [least[t] for t in runs] == sorted(least.values())
+    assert [(r.shard, r.slot) for r in got] == [(s, k) for s in range(7) for k in range(1_500 // 7 + (s < 1_500 % 7))]
+
+
+def test_sharding_of_other_types(spark):
+    df = spark.sql("SELECT id, date_add(DATE'2020-01-01', CAST(id AS INT)) AS day, timestamp_seconds(id) AS at, id % 2 = 0 AS even, CAST(id AS DECIMAL(9,2)) AS price, IF(id = 3, CAST('NaN' AS DOUBLE), id) AS x, array(id) AS odd FROM range(40)")
+    for dims in (["day", "at"], ["even", "price"], ["x"]):
+        out = sharding.shard_rows(df, dims, [F.col("id")], 4).collect()
+        assert sorted(collections.Counter(r.shard for r in out).values()) == [10] * 4
+    by_day = [r.id for r in sharding.shard_rows(df, ["day"], [F.col("id")], 4).where("shard = 0").collect()]
+    assert max(by_day) < 15
+    with pytest.raises(ValueError, match="array"):
+        sharding.shard_rows(df, ["odd"], [F.col("id")], 4)
+
+
+def test_files_of_shards_are_pruned_by_their_statistics(spark, tmp_path):
+    """Readers of one source and a range of sizes skip most files, of one shard's as well, and all rows are there."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(23)
+    rows = [(i, f"s{rng.randrange(16):02}", rng.randrange(100_000)) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "id long, source string, size long")
+    sharding.write_shards(sharding.shard_rows(df, ["source", "size"], [F.col("id")], 8), f"file://{tmp_path}/by_curve", 48)
+    df.repartition(48).write.parquet(f"file://{tmp_path}/by_chance")
+
+    def touched(path):
+        files, met = 0, 0
+        for f in sorted((tmp_path / path).rglob("*.parquet")):
+            group = pq.ParquetFile(f).metadata
+            of = {group.schema.column(i).name: [group.row_group(g).column(i).statistics for g in range(group.num_row_groups)] for i in range(group.num_columns)}
+            files += 1
+            met += any(a.min <= "s07" <= a.max and b.min <= 30_000 and b.max >= 20_000 for a, b in zip(of["source"], of["size"], strict=True))
+        return files, met
+
+    files, met = touched("by_curve")
+    assert files >= 40 and met <= files / 4 and touched("by_chance")[1] == 48
+    back = spark.read.parquet(f"file://{tmp_path}/by_curve")
+    assert back.count() == 6_000 and back.select("shard", "slot").distinct().count() == 6_000
+
+
 def test_string_levels_follow_whole_values(spark):
     names = ["arxiv", *(f"crawl-2023-{c}" for c in "abcdefgh")]
     rows = spark.createDataFrame([(n,) for n in names for _ in range(50)] + [(None,)], "source string")
@@ -425,14 +496,33 @@ def test_quality(odd, none, spark):
 # Decontamination
 
 
-def test_quality_pool_holds_no_labelled_document(spark, monkeypatch):
-    docs = spark.createDataFrame([(i % 90, f"text {i % 90}", "en", "s", 9) for i in range(180)], "doc_id long, text string, lang string, source string, n_chars long")
+def test_quality_draws_from_all_documents_without_a_label(spark, monkeypatch):
+    """Views that are sure of everything are given each unlabelled document once, and none that has a label."""
+    docs = spark.createDataFrame([(i % 90, f"text {i % 90}", "en", "s", 9) for i in range(180)] + [(None, "no id", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(70, None)], "doc_id long, quality int")
     seen = []
-    monkeypatch.setattr(quality, "co_train", lambda views, y, pool: seen.append((len(y), len(pool[0]), len(pool[1]))))
+    sure = [np.append(np.zeros(n), 20.0) for n, _ in quality.VIEWS.values()]
+
+    def drawn(views, y, draw):
+        got = draw(sure, [set(), set()], {1.0: 300, 0.0: 100})
+        given = {h for me, _, h, _ in got if me == 0}
+        seen.append((len(y), len(got), len(given), len(draw(sure, [set(), given], {1.0: 300, 0.0: 100})), len(draw(sure, [set(), set()], {1.0: 7, 0.0: 0}))))
+
+    monkeypatch.setattr(quality, "co_train", drawn)
     quality.fit(docs, labels)
-    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int"))
-    assert seen == [(120, 60, 60), (180, 0, 0)]
+    quality.fit(docs.where("doc_id is not null"), spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int"))
+    assert seen == [(120, 62, 31, 31, 14), (180, 0, 0, 0, 0)]
+
+
+def test_quality_of_labels_not_fitted(spark):
+    """Labelled documents of sf0.01 whose labels were kept back."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    described = quality.describe(docs)
+    model = quality.fit_described(described, labels.where("doc_id % 3 > 0"))
+    got = quality.score_described(described, model).join(labels.withColumnRenamed("doc_id", "id"), "id").where("id % 3 = 0").collect()
+    right = sum((r.score >= 0.5) == bool(r.quality) for r in got)
+    assert len(got) > 100 and right >= 0.9 * len(got)
 
 
 def test_decontamination(odd, none, spark):

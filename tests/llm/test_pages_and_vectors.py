@@ -1,6 +1,8 @@
 """Main text of pages, nearest neighbours, and the pipeline."""
 
+import collections
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -112,6 +114,46 @@ def test_ties_and_repeated_ids(kind):
         assert [(-a, b) for a, b in zip(score[who == i].tolist(), found[who == i].tolist(), strict=True)] == want, i
 
 
+@pytest.mark.parametrize("kind", ["clusters", "binary", "small integers", "one vector", "sizes"])
+def test_shards_of_one_tree(spark, monkeypatch, kind):
+    """Many shards: the same rows as sorting all pairs, ties to the smaller id, whichever leaves are left out."""
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 60)
+    monkeypatch.setattr(vptree, "rows_of", lambda dim: 60)
+    rng = np.random.default_rng(31)
+    if kind == "clusters":
+        x = rng.normal(size=(9, 8))[rng.integers(0, 9, 1_200)] + 0.02 * rng.normal(size=(1_200, 8))
+    elif kind == "binary":
+        x = (rng.random((1_200, 8)) < 0.5).astype(float)
+    else:
+        x = rng.integers(-2, 3, (1_200, 8)).astype(float)
+    if kind == "one vector":
+        x[: 600] = x[0]
+    x[~x.any(axis=1)] = 1
+    rows = [(i, v[: 5 + i % 3].tolist() if kind == "sizes" else v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest(df, F.col("id") % 20 == 0, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    good = [(i, np.array(v)) for i, v in rows if any(v)]
+    want = {q: sorted((-float(vptree.dot(v[None], w[None])[0]), i) for i, w in good if i != q and len(w) == len(v))[:7] for q, v in good if q % 20 == 0}
+    assert got == want
+
+
+def test_leaves_are_left_out():
+    """Of unit vectors in clusters a query reaches few leaves, and those hold all its neighbours."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4_000)] + 0.05 * rng.normal(size=(4_000, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    space = vptree.Space(float(np.sqrt((x * x).sum(axis=1)).max()), np.arange(2_000), x[:2_000], 32)
+    leaf, q = space.leaf_of(x), x[::50]
+    who, at = space.reached(q, space.radius(q, np.arange(0, 4_000, 50), 10))
+    assert space.leaves == 32 and len(who) < 0.5 * len(q) * space.leaves
+    dots = q @ x.T
+    dots[np.arange(len(q)), np.arange(0, 4_000, 50)] = -np.inf
+    reached = set(zip(who.tolist(), at.tolist(), strict=True))
+    assert all((i, int(leaf[j])) in reached for i, row in enumerate(np.argsort(-dots, axis=1)[:, :10]) for j in row)
+
+
 def test_relaxed_search_keeps_most():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(20, 12))[rng.integers(0, 20, 3000)] + 0.2 * rng.normal(size=(3000, 12))
@@ -132,7 +174,7 @@ def test_against_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     found = con.execute(oracle.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
@@ -140,6 +182,61 @@ def test_against_sql(spark, name):
     assert sorted(map(str, map(tuple, queries.QUERIES[name](spark, sf).select(*columns).collect()))) == want
 
 
+COLUMNS = {
+    "op1_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op2_quality": "doc_id bigint, score double, keep boolean",
+    "op3_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op4_shard": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op5_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op6_lm_score": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op7_main_text": "page_id bigint, url string, text string, n_chars bigint",
+    "op8_tokens": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op9_nearest": "query_id bigint, rank int, vec_id bigint, score double",
+    "op10_decontaminate": "doc_id bigint, item_id bigint, start_word int, similarity double",
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_query(spark, name):
+    """Columns, types, a row for each row of the table, and what the contracts fix, over sf0.001."""
+    sf = "/root/testdata/sf0.001"
+    out = queries.QUERIES[name](spark, sf)
+    assert ", ".join(f"{c} {t}" for c, t in out.dtypes) == COLUMNS[name]
+    got = out.collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    crc = lambda x: zlib.crc32(x.encode())
+    if name in ("op9_nearest", "op10_decontaminate", "op7_main_text"):
+        assert got
+        return
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        text = docs[r.doc_id].text or ""
+        if name == "op1_language":
+            assert r.held_out == (crc(str(r.doc_id)) % 4 == 2) and 0 <= r.score <= 1
+        if name == "op2_quality":
+            assert 0 <= r.score <= 1 and r.keep == (r.score >= 0.5)
+        if name == "op4_shard":
+            assert r.size == len(text.encode()) + 16 and r.text_crc32 == crc(text) and r.law == "rows" and r.grown_shard is None
+        if name == "op6_lm_score":
+            assert r.held_out == (crc(str(r.doc_id)) % 5 == 1) and r.n_tokens == len(text.encode().lower().split()) + 1
+        if name == "op8_tokens":
+            assert r.n_bytes == len(text.encode()) and r.over_limit == (r.n_tokens > 512)
+    if name == "op1_language":
+        told = [r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out and docs[r.doc_id].lang]
+        assert len(told) > 20 and sum(told) >= 0.95 * len(told)
+    if name == "op4_shard":
+        slots = collections.defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(40))
+        assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+        # Equal texts are neighbours: only an end of a shard parts them.
+        place, groups = {r.doc_id: i for i, r in enumerate(sorted(got, key=lambda r: (r.shard, r.slot)))}, collections.defaultdict(list)
+        for i, d in docs.items():
+            groups[d.text].append(place[i])
+        assert any(len(g) > 1 for g in groups.values()) and all(max(g) - min(g) == len(g) - 1 for g in groups.values())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
