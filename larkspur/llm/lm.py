@@ -222,17 +222,20 @@ class Vectors:
         noise = NOISE * np.exp(self.bias)
         steps = [Steps(x) for x in (self.one, self.two, self.out, self.bias)]
         rng = np.random.default_rng(11)
+        # What was never met pulls at nothing.
+        met = thrice.any(axis=2)
+        two, ones = np.flatnonzero(met.any(axis=1)), np.flatnonzero(met.any(axis=0))
         for _ in range(PASSES):
-            order = rng.permutation(CONTEXTS)
-            for i in range(0, CONTEXTS, STEP):
+            order = rng.permutation(ones)
+            for i in range(0, len(order), STEP):
                 one = order[i : i + STEP]
-                r = (self.two[:, None] + self.one[one]).reshape(-1, SIZE)
-                g = _pull_of((thrice[:, one].reshape(-1, CLASSES) / n).astype(np.float32), r @ self.out.T + self.bias, noise)
-                gr = (g @ self.out).reshape(CONTEXTS, len(one), SIZE)
+                r = (self.two[two, None] + self.one[one]).reshape(-1, SIZE)
+                g = _pull_of((thrice[np.ix_(two, one)].reshape(-1, CLASSES) / n).astype(np.float32), r @ self.out.T + self.bias, noise)
+                gr = (g @ self.out).reshape(len(two), len(one), SIZE)
                 steps[2].up(g.T @ r)
                 steps[3].up(g.sum(axis=0))
                 steps[0].up(gr.sum(axis=0), one)
-                steps[1].up(gr.sum(axis=1))
+                steps[1].up(gr.sum(axis=1), two)
 
     def _train_own(self, counted: Statistics, index: Index) -> None:
         """Own tokens as context: what they add to their class's vector, with what stands two places before as after that class on average."""
@@ -249,19 +252,21 @@ class Vectors:
                 step.up(g @ self.out - PULL * step.x)
 
     def _train_inner(self, inner: np.ndarray, index: Index, n: float) -> None:
-        near = Steps(self.near)
+        met = np.flatnonzero(inner.any(axis=1))
+        near = Steps(self.near[met])
         groups = []
         for c in range(SINGLE, CLASSES):
             at = np.flatnonzero(index.class_of == c)
             x, bias = Steps(self.leaf[at]), Steps(self.leaf_bias[at])
-            groups.append((at, (inner[:, at] / n).astype(np.float32), NOISE * np.exp(bias.x), x, bias))
+            groups.append((at, (inner[np.ix_(met, at)] / n).astype(np.float32), NOISE * np.exp(bias.x), x, bias))
         for _ in range(PASSES):
             for _, seen, noise, x, bias in groups:
-                g = _pull_of(seen, self.near @ x.x.T + bias.x, noise)
+                g = _pull_of(seen, near.x @ x.x.T + bias.x, noise)
                 gn = g @ x.x
-                x.up(g.T @ self.near - PULL / n * x.x)
+                x.up(g.T @ near.x - PULL / n * x.x)
                 bias.up(g.sum(axis=0))
                 near.up(gn)
+        self.near[met] = near.x
         for at, _, _, x, bias in groups:
             self.leaf[at], self.leaf_bias[at] = x.x, bias.x
 
