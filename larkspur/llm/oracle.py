@@ -65,6 +65,68 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, epochs * size + least(greatest(CAST(round(target) AS BIGINT) - epochs * source_size - upto, 0), size) AS taken FROM r
 """
 
+def _crc_table() -> list[int]:
+    """What CRC-32 makes of each byte: eight steps of division by its polynomial, bits reversed."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _cuts_sql(column: str) -> str:
+    """The values that bound the levels of a dimension, as a part of a WITH."""
+    return f"""
+v_{column} AS (
+  SELECT {column} AS v, count(*) AS n, sum(count(*)) OVER (ORDER BY {column}) AS upto, sum(count(*)) OVER () AS total FROM d WHERE {column} IS NOT NULL GROUP BY {column}
+), c_{column} AS (
+  SELECT DISTINCT v FROM v_{column}, range(1, 16) t(i) WHERE i / 16.0 * total > upto - n AND i / 16.0 * total <= upto
+)"""
+
+
+def _hilbert_sql() -> str:
+    """Place on the curve of (x0, x1, x2) of four bits, step by step, as parts of a WITH from ``h`` to ``placed``."""
+    parts, now = [], "h"
+    for bit in (3, 2, 1):
+        low = (1 << bit) - 1
+        for i in (0, 1, 2):
+            up, swap = f"(x{i} >> {bit}) & 1 = 1", f"(xor(x0, x{i}) & {low})"
+            x0 = f"CASE WHEN {up} THEN xor(x0, {low}) ELSE xor(x0, {swap}) END"
+            more = f", CASE WHEN {up} THEN x{i} ELSE xor(x{i}, {swap}) END AS x{i}" if i else ""
+            parts.append(f"h{bit}{i} AS (SELECT * REPLACE ({x0} AS x0{more}) FROM {now})")
+            now = f"h{bit}{i}"
+    parts.append(f"hg AS (SELECT * REPLACE (xor(x0, x1) AS x1, xor(xor(x0, x1), x2) AS x2) FROM {now})")
+    gray = "CASE WHEN (x2 >> 3) & 1 = 1 THEN 7 ELSE 0 END", "CASE WHEN (x2 >> 2) & 1 = 1 THEN 3 ELSE 0 END", "CASE WHEN (x2 >> 1) & 1 = 1 THEN 1 ELSE 0 END"
+    parts.append(f"hx AS (SELECT *, xor(xor({gray[0]}, {gray[1]}), {gray[2]}) AS g FROM hg)")
+    index = " + ".join(f"((xor(x{i}, g) >> {bit}) & 1) * {1 << (3 * bit + 2 - i)}" for bit in (3, 2, 1, 0) for i in (0, 1, 2))
+    parts.append(f"placed AS (SELECT *, {index} AS cell FROM hx)")
+    return ", ".join(parts)
+
+
+OP4 = f"""
+WITH d AS (
+  SELECT doc_id, lang, source, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) + 16 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+      lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS text_crc32,
+    CAST('0x' || substr(md5(coalesce('=' || md5(text), '-')), 1, 15) AS BIGINT) AS hash
+  FROM documents
+), {_cuts_sql("lang")}, {_cuts_sql("source")}, {_cuts_sql("size")}, h AS (
+  SELECT *, CAST('0x' || substr(md5(coalesce('=' || doc_id, '-') || chr(31) || '=' || text_crc32 || chr(31) || '=' || size), 1, 15) AS BIGINT) >> 29 AS sub,
+    (SELECT count(*) FROM c_lang WHERE v <= lang) AS x0, (SELECT count(*) FROM c_source WHERE v <= source) AS x1, (SELECT count(*) FROM c_size WHERE v <= size) AS x2
+  FROM d
+), {_hilbert_sql()}, g AS (
+  SELECT hash, min(cell) AS least, count(*) AS n FROM placed GROUP BY hash
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY least, n > 1000, hash, sub, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () // 40 AS q, count(*) OVER () % 40 AS more FROM placed JOIN g USING (hash)
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law,
+  CAST(CASE WHEN rank < more * (q + 1) THEN rank // (q + 1) ELSE more + (rank - more * (q + 1)) // greatest(q, 1) END AS INTEGER) AS shard,
+  CAST(CASE WHEN rank < more * (q + 1) THEN rank % (q + 1) ELSE (rank - more * (q + 1)) % greatest(q, 1) END AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM r
+"""
+
 #: Windows by brute force: any that shares enough shingles with an item to reach 0.8 is compared, at each start that a shared shingle or the document's end makes.
 OP10 = r"""
 WITH iw AS (
@@ -99,4 +161,4 @@ WITH iw AS (
 SELECT doc_id, item_id, start_word, similarity FROM best JOIN d USING (doc) JOIN i USING (item) WHERE nth = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": OP3, "op5_mix": OP5, "op9_nearest": OP9, "op10_decontaminate": OP10}
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": OP3, "op4_shard": OP4, "op5_mix": OP5, "op9_nearest": OP9, "op10_decontaminate": OP10}

@@ -49,8 +49,8 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     # Texts are read once; what is left of them is narrow.
-    rows = Scratch(spark, "op4").keep(docs.select("doc_id", "lang", "source", bytes_.alias("size"), crc.alias("text_crc32"), F.xxhash64("text", F.col("text").isNull()).alias("_text")), "rows")
-    out = sharding.shard_rows(rows, ["lang", "source", "size"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], SHARDS, together=[F.col("_text"), F.col("text_crc32"), F.col("size")])
+    rows = Scratch(spark, "op4").keep(docs.select("doc_id", "lang", "source", bytes_.alias("size"), crc.alias("text_crc32"), F.md5("text").alias("_text")), "rows")
+    out = sharding.shard_rows(rows, ["lang", "source", "size"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], SHARDS, together=[F.col("_text")])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

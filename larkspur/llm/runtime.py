@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,17 +36,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: list[Scratch] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Intermediate tables made inside go at its end: for frames that are written inside as well."""
+    before = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        for own in _SCRATCH[before:]:
+            own.clear()
+            atexit.unregister(own.clear)
+        del _SCRATCH[before:]
+
+
 class Scratch:
     """Intermediate tables of one query, as Parquet in the shared folder.
 
     Written tables cut the lineage, survive lost executors and carry their
     statistics into later plans.  ``drop`` removes one that is no longer read;
-    the rest go when the driver's process ends.
+    the rest go at the end of :func:`released` or of the driver's process.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _SCRATCH.append(self)
         atexit.register(self.clear)
 
     def _delete(self, path: str) -> None:

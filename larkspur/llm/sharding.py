@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from larkspur.llm.mixing import random_key
 from larkspur.llm.runtime import Scratch, Shield, join_told, ship, shuffle_partitions, small
 
 #: Bits of a dimension's level.
 BITS = 4
-#: Accuracy of the quantiles that bound the levels: ranks are off by at most one row in this many.
-ACCURACY = 10_000
+#: Rows of a group beyond which it has buckets of its own.
+BIG = 1_000
 
 
 def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -64,10 +65,19 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _string_cuts(df: DataFrame, column: str, share: Sequence[float]) -> list[str]:
-    """The least values up to which these shares of the rows lie, in the order of whole values; nulls don't count."""
-    values = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    values = Scratch(df.sparkSession, "sharding").keep(values.repartitionByRange("v").withColumn("p", F.spark_partition_id()), "values")
+def _key(column: Column, kind: str) -> Column:
+    """The values of a dimension, in an order that plain comparison has."""
+    if kind.startswith("timestamp"):
+        return F.unix_micros(column.cast("timestamp"))
+    if kind.startswith("decimal") or kind in ("string", "date", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double"):
+        return column
+    raise ValueError(f"a dimension is a number, string, truth value, date or time, not {kind}")
+
+
+def _cuts(df: DataFrame, key: Column, share: Sequence[float], own: Scratch, name: str) -> list:
+    """The least values up to which these shares of the rows lie; nulls don't count."""
+    values = df.where(key.isNotNull()).groupBy(key.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = own.keep(values.repartitionByRange("v").withColumn("p", F.spark_partition_id()), name)
     total, before = 0, {}
     for r in values.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
         before[r["p"]] = total
@@ -80,41 +90,31 @@ def _string_cuts(df: DataFrame, column: str, share: Sequence[float]) -> list[str
     return [r["v"] for r in upto.where(crossed).select("v").collect()]
 
 
-def _number(column: Column, kind: str) -> Column | None:
-    """Values of a type that has an order among numbers, as such; None for strings."""
-    if kind == "string":
-        return None
-    if kind == "date":
-        return F.unix_date(column).cast("double")
-    if kind.startswith("timestamp"):
-        return column.cast("timestamp").cast("double")
-    if kind == "boolean" or kind.startswith("decimal") or kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        return column.cast("double")
-    raise ValueError(f"a dimension is a number, string, truth value, date or time, not {kind}")
-
-
 def levels(df: DataFrame, dimensions: Sequence[str], bits: int = BITS) -> list[Column]:
-    """Quantised level of each dimension, null at 0: how many of the column's quantiles lie below the value."""
-    share = [i / (1 << bits) for i in range(1, 1 << bits)]
+    """Quantised level of each dimension, null at 0: how many of the column's quantiles lie at or below the value."""
+    own, share = Scratch(df.sparkSession, "levels"), [i / (1 << bits) for i in range(1, 1 << bits)]
     kinds = dict(df.dtypes)
-    numbers = {i: n for i, c in enumerate(dimensions) if (n := _number(F.col(f"`{c}`"), kinds[c])) is not None}
-    cuts = df.agg(F.lit(0), *[F.percentile_approx(k, share, ACCURACY).alias(str(i)) for i, k in numbers.items()]).first()
     out = []
     for i, c in enumerate(dimensions):
-        k = numbers.get(i, F.col(f"`{c}`"))
-        # Values that are no number come after all others.
-        bounds = sorted({float(b) for b in cuts[str(i)] or [] if b == b}) if i in numbers else _string_cuts(df, c, share)
-        level = sum((F.when(k >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
-        out.append(F.when(k.isNull(), 0).otherwise(level).cast("int"))
+        key = _key(F.col(f"`{c}`"), kinds[c])
+        level = sum((F.when(key >= F.lit(b), 1).otherwise(0) for b in _cuts(df, key, share, own, f"values{i}")), F.lit(0))
+        out.append(F.when(key.isNull(), 0).otherwise(level).cast("int"))
     return out
 
 
+def _hash(*columns: Column) -> Column:
+    """60 bits of the columns' MD5 as text, nulls apart from empty."""
+    return F.conv(F.substring(random_key(*columns), 1, 15), 16, 10).cast("long")
+
+
 def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column], shards: int, bits: int = BITS, together: Sequence[Column] = ()) -> DataFrame:
     """``rows`` with columns ``shard`` (0 to shards-1) and ``slot`` (0, 1, ... inside the shard); counts differ by one at most.
 
-    ``tie`` orders rows of one curve cell and should tell rows apart; rows
-    equal in all of it are interchangeable.  Rows equal in all of ``together``
-    are neighbours in the order, so that only an end of a shard parts them.
+    Rows come by their place on the curve, then by a hash of ``tie``, which
+    should tell rows apart; rows equal in all of it are interchangeable.  Rows
+    equal in all of ``together`` are neighbours, at the least of their places
+    and by a hash of what they share, so that only an end of a shard parts them;
+    groups of more than BIG rows come after all others of their place.
     Dimensions are numbers, strings, truth values, dates or times; others are
     refused.  Nulls count as the lowest level, NaN as the highest; an empty
     table stays empty.  Columns named ``shard`` or ``slot`` are replaced.
@@ -124,8 +124,7 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
         raise ValueError("dimensions times bits is at most 24: the curve's cells are counted by one job")
     ship(spark)
     own = Scratch(spark, "sharding")
-    # Each row's place in its cell: of rows that stay together one, and then by what tells them apart.
-    shield = Shield(rows, _hash=F.xxhash64(*(together or tie)), _sub=F.shiftrightunsigned(F.xxhash64(F.lit(1), *tie), 33), **{f"_tie{i}": t for i, t in enumerate(tie)})
+    shield = Shield(rows, _hash=_hash(*(together or tie)), _sub=F.shiftright(_hash(*tie), 29), **{f"_tie{i}": t for i, t in enumerate(tie)})
     rows, dimensions, tie = shield.inner, [shield(d) for d in dimensions], [F.col(f"_tie{i}") for i in range(len(tie))]
 
     @pandas_udf("long")
@@ -137,37 +136,34 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
     for i, level in enumerate(levels(rows, dimensions, bits)):
         packed = packed + F.shiftleft(level.cast("long"), bits * i)
     # Computed anew wherever it is read, always to the same values: the rows may be wide and aren't written again.
-    placed = rows.withColumn("_cell", curve(packed))
-
-    # A bucket holds about an eighth of a shuffle partition's rows; a small cell is one bucket.
+    placed = rows.withColumn("_cell", curve(packed)).withColumn("_rows", F.lit(1).cast("long"))
     if together:
-        groups = placed.groupBy("_hash").agg(F.min("_cell").alias("_at"), F.max("_cell").alias("_to"), F.count(F.lit(1)).alias("_rows"))
+        groups = placed.groupBy("_hash").agg(F.min("_cell").alias("_at"), F.max("_cell").alias("_to"), F.count(F.lit(1)).alias("_of"))
         groups = own.keep(groups, "groups")
-        cells = groups.groupBy(F.col("_at").alias("_cell")).agg(F.sum("_rows").alias("_n"))
+        cells = groups.groupBy(F.col("_at").alias("_cell")).agg(F.sum("_of").alias("_n"))
+        # Only groups that lie in several cells or are large have to be told their rows.
+        told = own.keep(groups.where((F.col("_at") != F.col("_to")) | (F.col("_of") > BIG)).select("_hash", "_at", "_of"), "told")
+        placed = join_told(placed, told, "_hash", "_of", "left", own, "hot")
+        placed = placed.withColumn("_cell", F.coalesce("_at", "_cell")).withColumn("_rows", F.coalesce("_of", "_rows")).drop("_at", "_of")
     else:
         cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     cells = own.keep(cells, "cells")
     total = cells.agg(F.sum("_n")).first()[0] or 0
+    # A bucket holds about an eighth of a shuffle partition's rows; a small cell is one bucket.
     each = max(1, total // (8 * shuffle_partitions(spark)))
-    placed = placed.withColumn("_big", F.lit(0))
-    if together:
-        # Groups that lie in several cells or are larger than a bucket; the latter are few.
-        told = groups.where((F.col("_at") != F.col("_to")) | (F.col("_rows") > each)).select("_hash", "_at", "_rows")
-        placed = join_told(placed, own.keep(told, "told"), "_hash", "_rows", "left", own, "hot")
-        placed = placed.withColumn("_cell", F.coalesce("_at", "_cell")).withColumn("_big", F.when(F.col("_rows") > each, F.ceil(F.col("_rows") / each)).otherwise(0).cast("int")).drop("_at", "_rows")
     placed = placed.join(small(cells.select("_cell", F.ceil(F.col("_n") / each).cast("long").alias("_of"))), "_cell")
-    split = placed.withColumn("_bucket", F.shiftright(F.shiftrightunsigned("_hash", 33) * F.col("_of"), 31)).drop("_of")
-    # A large group has buckets of its own, after its neighbours' one.
-    split = split.withColumn("_own", F.when(F.col("_big") > 0, F.col("_hash"))).withColumn("_part", F.shiftright(F.col("_sub") * F.col("_big"), 31))
-    bucket = ["_cell", "_bucket", "_own", "_part"]
+    big = F.col("_rows") > BIG
+    # A large group has buckets of its own, by its rows' own hash; 0 stands for no group.
+    split = placed.withColumn("_own", F.when(big, F.col("_hash") + 1).otherwise(0))
+    split = split.withColumn("_part", F.when(big, F.shiftright(F.col("_sub") * F.ceil(F.col("_rows") / each), 31)).otherwise(F.shiftright(F.shiftright("_hash", 29) * F.col("_of"), 31)))
+    split = split.drop("_of", "_rows")
+    bucket = ["_cell", "_own", "_part"]
     counts = split.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
     # At most one row of counts per eight of a partition's rows: a few bytes each, whatever the texts.
-    order = Window.orderBy("_cell", "_bucket", F.col("_own").asc_nulls_first(), "_part")
-    first = counts.select(*[F.col(c).alias(f"{c}_") for c in bucket], (F.sum("_n").over(order) - F.col("_n")).alias("_first"))
+    first = counts.select(*bucket, (F.sum("_n").over(Window.orderBy(*bucket)) - F.col("_n")).alias("_first"))
     first = small(own.keep(first, "first"))
     within = Window.partitionBy(bucket).orderBy("_hash", "_sub", *tie)
-    ranked = split.withColumn("_rank", F.row_number().over(within) - 1)
-    ranked = ranked.join(first, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in bucket])
+    ranked = split.withColumn("_rank", F.row_number().over(within) - 1).join(first, bucket)
     rank = F.col("_rank") + F.col("_first")
     # Shards of q+1 rows first, then of q.
     q, more = divmod(total, shards)

@@ -260,6 +260,24 @@ def test_pipeline_stages(spark):
     random.seed(0)
 
 
+def test_pages_of_the_table():
+    """Pages not made by the operator's own rules: what stands in the article element, read by plain patterns, where nothing is nested in it."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    seen = right = 0
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        inner = re.findall(r"<article[^>]*>(.*?)</article>", r["html"] or "", re.S)
+        if len(inner) != 1 or re.search(r"<(?!/?(p|b|i|em|strong|br|h[1-6]|a)\b)", inner[0]):
+            continue
+        text = " ".join(html.unescape(re.sub(r"</?(b|i|em|strong|a)\b[^>]*>", "", re.sub(r"</?(p|br|h[1-6])\b[^>]*>", "\n", inner[0]))).split())
+        seen += 1
+        right += htmlmain.main_text(r["html"]) == text
+    assert seen >= 100 and right >= 0.98 * seen
+
+
 def test_page_oracle_shape(spark):
     out = queries.QUERIES["op7_main_text"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["page_id", "url", "text", "n_chars"]
