@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, langid, mixing, neardup, sharding
 from larkspur.llm.queries import SHARDS
-from larkspur.llm.runtime import Scratch, table, word_count
+from larkspur.llm.runtime import Scratch, released, table, word_count
 
 
 def _crc() -> Column:
@@ -77,9 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage has made on its way goes when its rows are written, and those when the next one's are."""
     own = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = own.keep(stage(spark, docs, sf_dir), name)
+        with released():
+            docs = own.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            own.drop(before)
+        before = name
     return docs
