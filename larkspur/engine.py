@@ -199,6 +199,24 @@ class Engine:
     def _read(self, table_id: int) -> DataFrame:
         return self.tables[table_id].frame()
 
+    def _located(self, table_id: int) -> tuple[DataFrame, str] | None:
+        table = self.tables[table_id]
+        return table.located() if isinstance(table, ManagedTable) and table.table.columns else None
+
+    def locators(self, table_id: int) -> DataFrame:
+        """All rows of a managed table with their locators: ``part``, ``file`` and ``row`` after the declared columns."""
+        self._fresh(table_id)
+        rows, at = self._managed(table_id).located()
+        return rows.select(*[F.col(f"`{c.name}`") for c in self.tables[table_id].table.columns], f"{at}.part", f"{at}.file", f"{at}.row").orderBy(f"{at}.place", f"{at}.file", f"{at}.row")
+
+    def read_row(self, table_id: int, part: str, file: str, row: int) -> tuple | None:
+        """The row at a locator, or None once it was changed or removed with its part."""
+        self._fresh(table_id)
+        table = self._managed(table_id)
+        found = table.read_row(part, file, row).collect()
+        types = [c.type.physical for c in table.table.columns]
+        return tuple(int(v) if v is not None and t is Physical.UINT64 else v for t, v in zip(types, found[0], strict=True)) if found else None
+
     def _fresh(self, table_id: int) -> None:
         """Go on from what other engines have committed, unless a transaction here writes the table."""
         table = self.tables[table_id]
@@ -237,7 +255,7 @@ class Engine:
         for table_id in L.read_tables(q):
             self._fresh(table_id)
         columns = tuple(ResultColumn(f.name, f.type, f.nullable, f if isinstance(f, L.ColumnRef) else None) for f in q.fields)
-        return Rows(columns, lower.query(q, self._read))
+        return Rows(columns, lower.query(q, self._read, self._located))
 
     def execute(self, sql: str) -> Rows | Affected:
         """A query's rows, or the number of rows changed by a statement that is committed with it."""

@@ -30,7 +30,7 @@ def _table(number: int, name: str, columns: str) -> TableDef:
     return TableDef(number, name, made)
 
 
-#: What of the test tables has a type here.
+#: What of the test tables has a type here; doubles, times and lists have none, so that ``SELECT *`` leaves them out.
 TABLES = [
     _table(1, "region", "r_regionkey:I r_name:T"),
     _table(2, "nation", "n_nationkey:I n_name:T n_regionkey:I"),
@@ -56,29 +56,36 @@ ORDERS_N_SQL = """WITH orders_n AS (
 """
 
 
+_ENGINES: dict[tuple[str, int, str], Engine] = {}
+
+
 def engine(spark: SparkSession, sf_dir: str, sql: str | None = None) -> Engine:
-    """The test tables, or those that a statement reads, bound."""
+    """An engine with the test tables, or those that a statement reads, bound; one for each session and folder, whose files don't change."""
     used = {t.name for t in ALL} if sql is None else {s.table_name for s in scans(bind(Schema(ALL), parse(sql)).plan)}
-    found = Engine(spark)
-    for t in TABLES:
-        if t.name in used:
+    key = spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), sf_dir
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(spark)
+    found = _ENGINES[key]
+    for t in ALL:
+        if t.name not in used or t.id in found.tables:
+            continue
+        if t is ORDERS_N:
+            found.bind_frame(t, _orders_n(found.spark.read.parquet(f"{sf_dir}/orders.parquet")))
+        else:
             found.bind_parquet(t, f"{sf_dir}/{t.name}.parquet")
-    if ORDERS_N.name not in used:
-        return found
-    o = found.spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return found
+
+
+def _orders_n(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
-    found.bind_frame(
-        ORDERS_N,
-        o.select(
-            key,
-            F.when(key % 7 != 0, F.col("o_custkey")).alias("o_custkey"),
-            "o_orderstatus",
-            "o_orderpriority",
-            F.when(key % 11 != 0, key % 3 == 0).alias("active"),
-            F.when(key % 5 != 0, key.cast("decimal(20,0)")).alias("o_unsigned"),
-        ),
+    return orders.select(
+        key,
+        F.when(key % 7 != 0, F.col("o_custkey")).alias("o_custkey"),
+        "o_orderstatus",
+        "o_orderpriority",
+        F.when(key % 11 != 0, key % 3 == 0).alias("active"),
+        F.when(key % 5 != 0, key.cast("decimal(20,0)")).alias("o_unsigned"),
     )
-    return found
 
 
 #: Name: statement, and the columns that the other engine's integers are of other widths for.
@@ -214,6 +221,18 @@ def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.spark.createDataFrame([(refused, m["statistics"]["row_count"], of["distinct_non_null_keys"], of["null_count"])], "refused boolean, row_count long, distinct_keys long, null_count long")
 
 
+def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows by a column of many ties, as of a copy of the nations: ties in the order of insertion."""
+    return _copy(spark, sf_dir).query("SELECT id, a FROM pairs ORDER BY a DESC LIMIT 8").frame
+
+
+def _row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read by their locators."""
+    e = _copy(spark, sf_dir)
+    found = [e.read_row(1, r.part, r.file, r.row) for r in e.locators(1).where("id IN (3, 17)").collect()]
+    return e.spark.createDataFrame(found, "id long, a long, b long, note string")
+
+
 _PAIRS_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS a, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_nationkey * 2 AS BIGINT) END AS b, n_name AS note FROM nation"
 CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "dml_update_swap": (_changed("UPDATE pairs SET b = a, note = NULL WHERE id >= 5 AND id < 15"), f"WITH p AS ({_PAIRS_SQL}) SELECT id, a, CASE WHEN id >= 5 AND id < 15 THEN a ELSE b END AS b, CASE WHEN id >= 5 AND id < 15 THEN NULL ELSE note END AS note FROM p"),
@@ -222,6 +241,8 @@ CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "txn_commit": (_changed("DELETE FROM pairs WHERE id = 1", "UPDATE pairs SET a = 9 WHERE id = 2", "INSERT INTO pairs (id, a) VALUES (50, 5)", commit=True), f"WITH p AS ({_PAIRS_SQL}) SELECT id, CASE WHEN id = 2 THEN 9 ELSE a END AS a, b, note FROM p WHERE id <> 1 UNION ALL SELECT 50, 5, NULL, NULL"),
     "txn_conflict": (_conflict, f"{_PAIRS_SQL} UNION ALL SELECT 60, 7, NULL, NULL"),
     "analyze_committed": (_analyzed, f"WITH p AS ({_PAIRS_SQL}) SELECT TRUE AS refused, count(*) AS row_count, count(DISTINCT b) AS distinct_keys, count(*) - count(b) AS null_count FROM p"),
+    "order_ties": (_ties, f"WITH p AS ({_PAIRS_SQL}) SELECT id, a FROM p ORDER BY a DESC, id LIMIT 8"),
+    "row_by_locator": (_row, f"WITH p AS ({_PAIRS_SQL}) SELECT * FROM p WHERE id IN (3, 17)"),
     "txn_rollback": (_changed("DELETE FROM pairs", "INSERT INTO pairs (id, a) VALUES (50, 5)", commit=False), _PAIRS_SQL),
 }
 

@@ -13,6 +13,8 @@ from larkspur.plans import logical as L
 
 #: A table's rows under their declared names and types, by table id.
 Reader = Callable[[int], DataFrame]
+#: The same with a column that tells rows apart in the order of insertion, and its name; None of tables that have none.
+Locator = Callable[[int], tuple[DataFrame, str] | None]
 
 _OPS: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b,
@@ -40,8 +42,15 @@ def expression(e: L.TypedExpr) -> Column:
     return tested.isNotNull() if e.negated else tested.isNull()
 
 
-def scan(s: L.Scan, read: Reader) -> DataFrame:
-    return read(s.table_id).select([F.col(f"`{c.name.replace('`', '``')}`").alias(c.internal) for c in s.columns])
+def scan(s: L.Scan, read: Reader, locate: Locator | None = None) -> DataFrame:
+    columns = [F.col(f"`{c.name.replace('`', '``')}`").alias(c.internal) for c in s.columns]
+    if locate and (found := locate(s.table_id)):
+        return found[0].select(*columns, F.col(found[1]).alias(_place(s)))
+    return read(s.table_id).select(columns)
+
+
+def _place(s: L.Scan) -> str:
+    return f"b{s.binding}_at"
 
 
 def _sort_key(k: L.SortKey) -> Column:
@@ -51,31 +60,35 @@ def _sort_key(k: L.SortKey) -> Column:
     return c.asc_nulls_first() if k.nulls_first else c.asc_nulls_last()
 
 
-def plan(p: L.Plan, read: Reader) -> DataFrame:
-    """Columns under internal names; of a projection or aggregate ``f0``, ``f1``, ..."""
+def plan(p: L.Plan, read: Reader, locate: Locator | None = None, places: bool = False) -> DataFrame:
+    """Columns under internal names; of a projection or aggregate ``f0``, ``f1``, ...  With ``places`` rows carry those of their scans, so far as tables have them."""
+    here = locate if places else None
     match p:
         case L.Scan():
-            return scan(p, read)
+            return scan(p, read, here)
         case L.Join():
-            left, right = plan(p.left, read), scan(p.right, read)
+            left, right = plan(p.left, read, locate, places), scan(p.right, read, here)
             if not inequality.has_equality(p.predicate, p.right.binding) and (found := inequality.bound(p.predicate, p.right.binding)):
                 holds = next(s for s in L.scans(p.left) if s.binding == found[0].binding)
                 left, right = inequality.prune(left, right, found, scan(holds, read))
                 return inequality.join(left, right, found, expression(p.predicate))
             return left.join(right, expression(p.predicate), "inner")
         case L.Filter():
-            return plan(p.input, read).where(expression(p.predicate))
+            return plan(p.input, read, locate, places).where(expression(p.predicate))
         case L.Sort():
-            return plan(p.input, read).orderBy([_sort_key(k) for k in p.keys])
+            rows = plan(p.input, read, locate, True)
+            # Ties stay in the order of insertion, of a join's left rows first.
+            ties = [_place(s) for s in L.scans(p.input) if _place(s) in rows.columns]
+            return rows.orderBy([*(_sort_key(k) for k in p.keys), *map(F.col, ties)])
         case L.Project():
-            return plan(p.input, read).select([F.col(c.internal).alias(f"f{i}") for i, c in enumerate(p.columns)])
+            return plan(p.input, read, locate, places).select([F.col(c.internal).alias(f"f{i}") for i, c in enumerate(p.columns)])
         case L.Limit():
-            return plan(p.input, read).limit(p.rows)
-    return _aggregate(p, read)
+            return plan(p.input, read, locate, places).limit(p.rows)
+    return _aggregate(p, read, locate)
 
 
-def _aggregate(p: L.Aggregate, read: Reader) -> DataFrame:
-    rows = plan(p.input, read)
+def _aggregate(p: L.Aggregate, read: Reader, locate: Locator | None) -> DataFrame:
+    rows = plan(p.input, read, locate)
     keys = list(dict.fromkeys(k.internal for k in p.keys))
     sums = {f"f{i}": o for i, o in enumerate(p.outputs) if isinstance(o, L.Aggregate_)}
     if sums:
@@ -92,7 +105,7 @@ def told(f: L.ColumnRef | L.Aggregate_) -> dict:
     return out | {"table": f.table_id, "column": f.column_id} if isinstance(f, L.ColumnRef) else out
 
 
-def query(q: L.Query, read: Reader) -> DataFrame:
-    rows = plan(q.plan, read)
+def query(q: L.Query, read: Reader, locate: Locator | None = None) -> DataFrame:
+    rows = plan(q.plan, read, locate)
     rows = rows.select([F.col(f"f{i}").alias(f"f{i}", metadata=told(f)) for i, f in enumerate(q.fields)])
     return rows.toDF(*[f.name for f in q.fields])

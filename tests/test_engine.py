@@ -229,6 +229,28 @@ def test_rows_added_after_an_index_are_sorted(small):
     assert "PushedFilters" in found["physical"] and "EqualTo(a,5)" in found["physical"]
 
 
+def test_ties_and_locators(small):
+    """Rows that tie come in the order of insertion, whatever the partitioning; a row is read again by its locator."""
+    small.insert(2, [(100 + i, i % 3, None) for i in range(200)])
+    small.insert(2, [(400 - i, i % 3, i % 2) for i in range(100)])
+    order = [(r.id, r.a, r.b) for r in small.locators(2).collect()]
+    assert [r[0] for r in order] == [1, 2, 3, *range(100, 300), *range(400, 300, -1)]
+    want = sorted((r for r in order if r[1] is not None), key=lambda r: r[1])
+    assert rows(small, "SELECT id, a, b FROM small WHERE a IS NOT NULL ORDER BY a") == want
+    assert rows(small, "SELECT id FROM small ORDER BY b DESC NULLS LAST LIMIT 7") == [(r[0],) for r in sorted(order, key=lambda r: -(-1 if r[2] is None else r[2]))][:7]
+    met = rows(small, "SELECT x.id, y.id FROM small x JOIN small y ON x.id = y.id WHERE x.a = 1 ORDER BY x.a")
+    assert met == [(r[0], r[0]) for r in order if r[1] == 1]
+    at = [r for r in small.locators(2).collect() if r.id in (2, 150)]
+    assert [small.read_row(2, r.part, r.file, r.row) for r in at] == [(2, 30, 40), (150, 2, None)]
+    small.execute("DELETE FROM small WHERE id = 151")
+    assert [small.read_row(2, r.part, r.file, r.row) for r in at] == [(2, 30, 40), None]
+    assert small.read_row(2, at[0].part, at[0].file, 99) is None
+    t = small.begin(2)
+    small.execute_in(t, "DELETE FROM small")
+    assert small.locators(2).collect() == [] and rows(small, "SELECT id FROM small ORDER BY a") == []
+    t.rollback()
+
+
 def test_access_paths_and_join_strategies(small):
     told = lambda sql: (lambda f: ([p["access"] for p in f["access_paths"]], [j["strategy"] for j in f["joins"]]))(inspect.statement(small, sql))
     assert told("SELECT id FROM small") == (["full"], [])
@@ -236,6 +258,11 @@ def test_access_paths_and_join_strategies(small):
     assert told("SELECT id FROM small WHERE b IS NULL") == (["null"], [])
     assert told("SELECT x.id FROM small x JOIN small y ON x.a = y.b JOIN small z ON z.id > x.b WHERE y.id = 4") == (["full", "point", "full"], ["equality", "inequality"])
     assert told("SELECT x.id FROM small x JOIN small y ON x.a = 1 OR y.a = 2") == (["full", "full"], ["nested_loop"])
+    found = inspect.statement(small, "SELECT x.id, COUNT(*) FROM small x JOIN small y ON x.a = y.b WHERE NOT x.a < 3 OR y.b IS NOT NULL GROUP BY x.id")
+    text = inspect.to_text(found)
+    assert "[0] id INT64 NOT NULL from x.id" in text and "[1] COUNT(*) UINT64 NOT NULL from derived" in text
+    assert "Filter (NOT ((x.a < 3)) OR (y.b) IS NOT NULL)" in text and "Join (x.a = y.b)" in text and len(found["physical_joins"]) == 1
+    assert "Sort small.a DESC NULLS FIRST" in inspect.to_text(inspect.statement(small, "SELECT id FROM small ORDER BY a DESC"))
     assert "by inequality" in inspect.to_text(inspect.statement(small, "SELECT x.id FROM small x JOIN small y ON x.a < y.b"))
 
 
