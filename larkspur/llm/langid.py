@@ -9,10 +9,11 @@ Symbols are lower-cased letters; every run of other characters is one separator.
 Many texts are parsed in step: a text is cut into blocks of BLOCK symbols, a
 block is a lane, and one table look-up per symbol moves all lanes of a language.
 A block goes on where the one before it ends, so that a text's phrases are those
-of one parse: blocks are parsed at first as if a phrase began with each, then
-again from the state that the block before ended in, wherever that differs.
-Parses that begin apart soon meet; where they don't within ROUNDS, as in texts
-that repeat themselves, the rest of the text is parsed symbol by symbol.
+of one parse.  Parses that begin apart soon meet, so a block is parsed at first
+from the state that the LEAD symbols before it lead to, then again from the
+state that the block before ended in, wherever that differs.  Where they don't
+meet within ROUNDS, as in texts that repeat themselves, the rest of the text is
+parsed symbol by symbol.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ SAMPLE_SYMBOLS = 30_000
 SAMPLE_DOCS, SAMPLE_DOC_CHARS = 64, 8_000
 #: Languages whose table of counts is broadcast.
 MOST_LANGUAGES = 10_000
-#: Symbols of a block, and how often blocks are parsed together.
-BLOCK, ROUNDS = 1_024, 4
+#: Symbols of a block, symbols before it that its first state is guessed from, and how often blocks are parsed again.
+BLOCK, LEAD, ROUNDS = 1_024, 64, 4
 #: Characters parsed at once by a worker.
 AT_ONCE = 1_000_000
 #: Symbols: separator, a letter of no sample, and the samples' characters by frequency.
@@ -205,13 +206,16 @@ class Lanes:
         padded = np.concatenate([codes, np.zeros(BLOCK, codes.dtype)])
         self.raw = padded[self.begin[None, :] + np.arange(steps)[:, None]] if steps else np.zeros((0, 0), codes.dtype)
         self.symbols, self.rare = split_rare(self.raw, self.active)
+        # Blocks that another one follows are full.
+        self.lead = _split(self.raw[BLOCK - LEAD :, self.before[self.later]], np.full(LEAD, len(self.later))) if len(self.later) else None
 
     def count(self, a: Automaton) -> np.ndarray:
         """Phrases of each lane, those that began in an earlier one not counted."""
         used = np.zeros(len(self.text), np.int32)
+        if self.lead:
+            used[self.later] = phrases(a, *self.lead, np.zeros(len(self.later), np.int32))[1]
         count, end = phrases(a, self.symbols, self.active, self.rare, used)
         count[self.nth == 0] += 1
-        redo = self.later
         for _ in range(ROUNDS):
             redo = self.later[end[self.before[self.later]] >> 1 != used[self.later] >> 1]
             if not len(redo):

@@ -23,6 +23,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows that a Python worker gets at once.  Texts may be long, so this is far below Spark's default of 10,000.
 BATCH_ROWS = 1_024
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that a Python worker gets at once, beyond a single row.
+BATCH_BYTES = "8m"
 
 #: Rows of a side that is broadcast; with more, the join is left to Spark.
 BROADCAST_ROWS = 500_000
@@ -137,6 +139,7 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if int(spark.conf.get(_BATCH_SETTING)) > BATCH_ROWS:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = Path(__file__).resolve().parents[2]
     if sc.applicationId in _SHIPPED:
         return
