@@ -350,5 +350,6 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
 
     own = Shield(docs)
-    out = own.inner.withColumn("_found", found(F.col(own(text))))
+    # A filter by the result must not make Spark compute it a second time below.
+    out = own.inner.withColumn("_found", found.asNondeterministic()(F.col(own(text))))
     return own.restore(out.withColumn(into, F.col("_found.lang")).withColumn(score, F.col("_found.score")), into, score)
