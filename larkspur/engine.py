@@ -205,14 +205,15 @@ class Engine:
 
     def locators(self, table_id: int) -> DataFrame:
         """All rows of a managed table with their locators: ``part``, ``file`` and ``row`` after the declared columns."""
+        table = self._managed(table_id)
         self._fresh(table_id)
-        rows, at = self._managed(table_id).located()
-        return rows.select(*[F.col(f"`{c.name}`") for c in self.tables[table_id].table.columns], f"{at}.part", f"{at}.file", f"{at}.row").orderBy(f"{at}.place", f"{at}.file", f"{at}.row")
+        rows, at = table.located()
+        return rows.orderBy(at).select(*[F.col(f"`{c.name}`") for c in table.table.columns], f"{at}.part", f"{at}.file", f"{at}.row")
 
     def read_row(self, table_id: int, part: str, file: str, row: int) -> tuple | None:
         """The row at a locator, or None once it was changed or removed with its part."""
-        self._fresh(table_id)
         table = self._managed(table_id)
+        self._fresh(table_id)
         found = table.read_row(part, file, row).collect()
         types = [c.type.physical for c in table.table.columns]
         return tuple(int(v) if v is not None and t is Physical.UINT64 else v for t, v in zip(types, found[0], strict=True)) if found else None

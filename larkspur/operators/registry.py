@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur import inspect
 from larkspur.engine import Engine
 from larkspur.errors import TransactionError
 from larkspur.plans.bind import bind
@@ -226,6 +227,24 @@ def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copy(spark, sf_dir).query("SELECT id, a FROM pairs ORDER BY a DESC LIMIT 8").frame
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point of an indexed column, among rows from before and after the index."""
+    e = _copy(spark, sf_dir)
+    e.create_index(1, "a")
+    e.execute("INSERT INTO pairs (id, a) VALUES (70, 2)")
+    return e.query("SELECT id, note FROM pairs WHERE a = 2 AND id > 3").frame
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a statement would reach its rows, which isn't run."""
+    e = _copy(spark, sf_dir)
+    e.create_index(1, "a")
+    told = inspect.statement(e, "SELECT x.id FROM pairs x JOIN pairs y ON x.b < y.b JOIN pairs z ON z.id = y.id WHERE x.a = 2 AND y.id >= 3 AND y.id < 9")
+    joins = [None, *(j["strategy"] for j in told["joins"])]
+    rows = [(p["binding"], p["access"], p["column_id"], p["index"], j) for p, j in zip(told["access_paths"], joins, strict=True)]
+    return e.spark.createDataFrame(rows, "binding long, access string, column_id long, indexed boolean, joined string")
+
+
 def _row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows read by their locators."""
     e = _copy(spark, sf_dir)
@@ -241,6 +260,8 @@ CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "txn_commit": (_changed("DELETE FROM pairs WHERE id = 1", "UPDATE pairs SET a = 9 WHERE id = 2", "INSERT INTO pairs (id, a) VALUES (50, 5)", commit=True), f"WITH p AS ({_PAIRS_SQL}) SELECT id, CASE WHEN id = 2 THEN 9 ELSE a END AS a, b, note FROM p WHERE id <> 1 UNION ALL SELECT 50, 5, NULL, NULL"),
     "txn_conflict": (_conflict, f"{_PAIRS_SQL} UNION ALL SELECT 60, 7, NULL, NULL"),
     "analyze_committed": (_analyzed, f"WITH p AS ({_PAIRS_SQL}) SELECT TRUE AS refused, count(*) AS row_count, count(DISTINCT b) AS distinct_keys, count(*) - count(b) AS null_count FROM p"),
+    "index_scan": (_indexed, f"WITH p AS ({_PAIRS_SQL}) SELECT id, note FROM p WHERE a = 2 AND id > 3 UNION ALL SELECT 70, NULL"),
+    "inspect_paths": (_paths, "SELECT CAST(b AS BIGINT) AS binding, a AS access, CAST(c AS BIGINT) AS column_id, i AS indexed, j AS joined FROM (VALUES (0, 'point', 1, TRUE, NULL), (1, 'range', 0, FALSE, 'inequality'), (2, 'full', NULL, FALSE, 'equality')) v(b, a, c, i, j)"),
     "order_ties": (_ties, f"WITH p AS ({_PAIRS_SQL}) SELECT id, a FROM p ORDER BY a DESC, id LIMIT 8"),
     "row_by_locator": (_row, f"WITH p AS ({_PAIRS_SQL}) SELECT * FROM p WHERE id IN (3, 17)"),
     "txn_rollback": (_changed("DELETE FROM pairs", "INSERT INTO pairs (id, a) VALUES (50, 5)", commit=False), _PAIRS_SQL),
