@@ -24,7 +24,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_ROWS = 1_024
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes that a Python worker gets at once, beyond a single row.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 #: Rows of a side that is broadcast; with more, the join is left to Spark.
 BROADCAST_ROWS = 500_000
