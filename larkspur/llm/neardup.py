@@ -27,15 +27,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from larkspur.llm.components import components
 from larkspur.llm.runtime import BROADCAST_ROWS, Scratch, Shield, join_told, lowered_words, ship
@@ -152,26 +150,24 @@ def estimate(reg_a: np.ndarray, reg_b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return ((reg_a == reg_b).mean(axis=1) - c) / (1 - c)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], text: str, width: int, rows: int) -> Iterator[pa.RecordBatch]:
-    ids = count(TaskContext.get().partitionId() << 33)
-    for b in batches:
-        rid, n, digest, reg, keys = [], [], [], [], []
-        for t in b.column(text).cast(pa.binary()):
-            s = shingle_set(t.as_py(), width)
-            rid.append(next(ids))
-            n.append(len(s))
-            if len(s):
-                r = registers(s)
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                reg.append(r.tobytes())
-                keys.append(band_keys(r, rows))
-            else:
-                digest.append(None)
-                reg.append(None)
-                keys.append(np.zeros(0, np.int64))
-        new = [pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(reg, pa.binary()), pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))]
-        yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "_rid", "_n", "_digest", "_reg", "_keys"])
-        pa.default_memory_pool().release_unused()
+def _signatures(texts: pa.Array, width: int, rows: int) -> pa.StructArray:
+    """Size, digest, registers and band keys of each text's set; of an empty set only the size."""
+    n, digest, reg, keys = [], [], [], []
+    for t in texts.cast(pa.binary()):
+        s = shingle_set(t.as_py(), width)
+        n.append(len(s))
+        if len(s):
+            r = registers(s)
+            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            reg.append(r.tobytes())
+            keys.append(band_keys(r, rows))
+        else:
+            digest.append(None)
+            reg.append(None)
+            keys.append(np.zeros(0, np.int64))
+    lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+    pa.default_memory_pool().release_unused()
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(reg, pa.binary()), lists], ["n", "digest", "reg", "keys"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -255,8 +251,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = Scratch(spark, "neardup")
     shield = Shield(docs)
     docs, doc_id, text = shield.inner, shield(doc_id), shield(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_rid", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType()), T.StructField("_reg", T.BinaryType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
-    signed = own.keep(docs.mapInArrow(lambda it: _signed(it, text, width, rows), schema), "signed")
+
+    @arrow_udf("struct<n:long,digest:binary,reg:binary,keys:array<long>>")
+    def signatures(texts: pa.Array) -> pa.Array:
+        return _signatures(texts, width, rows)
+
+    # Only texts go to Python, and only once; rows are numbered as they are written.
+    made = docs.withColumn("_s", signatures.asNondeterministic()(F.col(text))).withColumn("_rid", F.monotonically_increasing_id())
+    signed = own.keep(made.select(*docs.columns, "_rid", *[F.col(f"_s.{c}").alias(f"_{c}") for c in ("n", "digest", "reg", "keys")]), "signed")
 
     # Equal sets are one node, named by its smallest row.
     digests = signed.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.min("_rid").alias("_node"), F.count(F.lit(1)).alias("_rows"))
@@ -310,7 +312,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             label = components(links, own, "c3")
 
     member = own.keep(member.join(label, "node", "left").select("_rid", "_id", F.coalesce("label", "node").alias("_label")), "labelled")
-    head = member.groupBy("_label").agg(F.min("_id").alias("component_id"), F.min(F.struct(F.col("_id").isNull(), "_id", "_rid"))["_rid"].alias("_head"))
-    out = signed.drop("_digest", "_reg", "_keys").join(member.join(head, "_label").select("_rid", "component_id", "_head"), "_rid")
+    head = member.groupBy("_label").agg(F.min("_id").alias("component_id"), F.min(F.struct(F.col("_id").isNull(), "_id", "_rid"))["_rid"].alias("_head"), F.count(F.lit(1)).alias("_of"))
+    head = own.keep(head.where(F.col("_of") > 1), "heads")
+    told = join_told(member, head, "_label", "_of", "left", own, "crowds")
+    told = told.select("_rid", F.when(F.col("_of") > 1, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), F.coalesce("_head", "_rid").alias("_head"))
+    out = signed.drop("_digest", "_reg", "_keys").join(told, "_rid")
     out = out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id"))).withColumn("survivor", F.col("_rid") == F.col("_head"))
     return shield.restore(out.withColumnRenamed("_n", "n_shingles"), "n_shingles", "component_id", "kept", "survivor")
