@@ -136,7 +136,8 @@ def shard_rows(rows: DataFrame, dimensions: Sequence[str], tie: Sequence[Column]
     for i, level in enumerate(levels(rows, dimensions, bits)):
         packed = packed + F.shiftleft(level.cast("long"), bits * i)
     # Computed anew wherever it is read, always to the same values: the rows may be wide and aren't written again.
-    placed = rows.withColumn("_cell", curve(packed)).withColumn("_rows", F.lit(1).cast("long"))
+    # The joins' filter by the cell must not make Spark compute it a second time below: each task would take two Python workers.
+    placed = rows.withColumn("_cell", curve.asNondeterministic()(packed)).withColumn("_rows", F.lit(1).cast("long"))
     if together:
         groups = placed.groupBy("_hash").agg(F.min("_cell").alias("_at"), F.max("_cell").alias("_to"), F.count(F.lit(1)).alias("_of"))
         groups = own.keep(groups, "groups")

@@ -271,6 +271,13 @@ def test_sharding_by_brute_force(spark, monkeypatch, big):
     assert [(r.shard, r.slot) for r in got] == [(s, k) for s in range(7) for k in range(1_500 // 7 + (s < 1_500 % 7))]
 
 
+@pytest.mark.parametrize("together", [[], ["text"]])
+def test_sharding_takes_one_python_worker_a_task(odd, together):
+    """A second call of the curve in one task would take another worker, which then stays beside the first."""
+    plan = sharding.shard_rows(odd, ["lang", "source", "n_chars"], [F.col("doc_id")], 7, together=[F.col(c) for c in together])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_sharding_of_other_types(spark):
     df = spark.sql("SELECT id, date_add(DATE'2020-01-01', CAST(id AS INT)) AS day, timestamp_seconds(id) AS at, id % 2 = 0 AS even, CAST(id AS DECIMAL(9,2)) AS price, IF(id = 3, CAST('NaN' AS DOUBLE), id) AS x, array(id) AS odd FROM range(40)")
     for dims in (["day", "at"], ["even", "price"], ["x"]):
